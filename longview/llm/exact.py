@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.llm.common import Scratch, cut, ship
@@ -21,8 +21,8 @@ NO_ID = -(2**63)
 def _reader(block_bytes: int, hash_bits: int, want: str):
     """Arrow batches of (id, text) to what ``want`` names.
 
-    ``rows``: key, digest and block hashes of each row. ``blocks``: the distinct (hash, block) of each
-    batch. ``pieces``: key, position, hash and block of every block.
+    ``rows``: key, digest and block hashes of each row. ``blocks``: the (hash, block) pairs, repeats near each
+    other left out. ``pieces``: key, position, hash and block of every block.
     """
 
     def read(batches: Iterator) -> Iterator:
@@ -32,7 +32,7 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
         import pyarrow.compute as pc
         import xxhash
 
-        shift = 64 - hash_bits
+        shift, seen, held = 64 - hash_bits, set(), 0
         signed = lambda raw: int.from_bytes(raw, "big", signed=True)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -40,7 +40,6 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
                 texts = batch.column("text")
                 points = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
                 out: dict[str, list] = {k: [] for k in ("k1", "points", "s", "id", "sha", "raw", "hs", "pos", "h", "block")}
-                seen = set()
                 raws = batch.column("raw").to_pylist()
                 for i, text, n, raw in zip(batch.column("id").to_pylist(), texts.cast(pa.binary()).to_pylist(), points, raws, strict=True):
                     clean = (text or b"").translate(None, IGNORED)
@@ -50,6 +49,7 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
                         for h, b in zip(hs, blocks, strict=True):
                             if (h, b) not in seen:
                                 seen.add((h, b))
+                                held += len(b)
                                 out["h"].append(h)
                                 out["block"].append(b)
                         continue
@@ -62,6 +62,8 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
                         for pos, (h, b) in enumerate(zip(hs, blocks, strict=True)):
                             for k, v in zip(("k1", "points", "s", "pos", "h", "block"), (*key, pos, h, b), strict=True):
                                 out[k].append(v)
+                if held > 1 << 25:  # copies are told apart within 32 MB of blocks, the rest after the shuffle
+                    seen, held = set(), 0
                 types = {"k1": pa.int64(), "points": pa.int64(), "s": pa.int64(), "id": pa.int64(), "sha": pa.string(), "raw": pa.int64(), "hs": pa.list_(pa.int64()), "pos": pa.int32(), "h": pa.int64(), "block": pa.binary()}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[k], types[k]) for k in FIELDS[want]], names=list(FIELDS[want])
@@ -117,7 +119,7 @@ def exact_duplicates(
 
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.table(read("rows"))
-        names = scratch.table(_named(read("blocks").distinct(), "h", "block").withColumn("block", _unless_shared()))
+        names = scratch.table(_named(read("blocks").repartition("h").distinct(), "h", "block").withColumn("block", _unless_shared()))
         level = _first_level(rows, names, read, scratch)
         final = _collapse(level, scratch)
         members = scratch.table(rows.select(*KEY, "id", "sha", "raw").join(final, KEY))
@@ -140,8 +142,6 @@ def exact_duplicates(
 
 def _unless_shared():
     """Block bytes are stored with a name only if the block's hash is shared by another block."""
-    from pyspark.sql import Window
-
     return F.when(F.count(F.lit(1)).over(Window.partitionBy("h")) > 1, F.col("block"))
 
 

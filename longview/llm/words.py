@@ -28,12 +28,12 @@ class Words:
     cost is a few vector operations per byte and does not depend on how many different words there are.
     """
 
-    def __init__(self):
+    def __init__(self, blanks: bytes = SPACES):
         value = np.random.default_rng(20240601).integers(1, 2**64, 256, dtype=np.uint64)
         for a in range(ord("A"), ord("Z") + 1):
             value[a] = value[a + 32]
         self.value, self.space = value, np.zeros(256, bool)
-        self.space[list(SPACES)] = True
+        self.space[list(blanks)] = True
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -47,6 +47,12 @@ class Words:
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, index of each text's first word and the end), of texts data[bounds[i]:bounds[i+1]]."""
+        starts, ends, total = self.spans(data, bounds)
+        hashes = (total[ends] - total[starts]) * self.down[starts]
+        return _mixed(hashes ^ (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+
+    def spans(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each word, its end, running sums) in bytes; see :meth:`part` for hashes."""
         n = len(data)
         self._powers(n + 1)
         fresh = np.zeros(n + 1, bool)
@@ -61,8 +67,11 @@ class Words:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(self.value[data] * self.up[:n], out=total[1:])
-        hashes = (total[ends] - total[starts]) * self.down[starts]
-        return _mixed(hashes ^ (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+        return starts, ends, total
+
+    def part(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+        """Hashes of the bytes from ``starts`` to ``ends``; ``salt`` tells kinds of parts apart."""
+        return _mixed(((total[ends] - total[starts]) * self.down[starts]) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
 
 def slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
