@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.llm.common import Scratch, components, cut, ship
@@ -18,7 +18,14 @@ ORDER_BITS = 22
 #: Bits of the filter that lets a later scan skip documents that are in no candidate pair (1 MB).
 FILTER_BITS = 23
 #: The most extra prefix tokens a costly document takes.
-MOST_MATCHES = 4
+MOST_MATCHES = 12
+
+
+def _small(batches: Iterator, rows: int = 512) -> Iterator:
+    """The same rows in batches that keep a worker's memory low."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
 
 
 def _repeats(width: int):
@@ -41,7 +48,7 @@ def _repeats(width: int):
             for own in shingle_sets(batch.column("text"), width, words):
                 held.append(own)
                 size += len(own)
-                if size > 8_000_000:
+                if size > 2_000_000:
                     settle()
                     size = 0
         if held:
@@ -61,7 +68,7 @@ def _prefixes(width: int, percent: int, levels: bytes):
         import xxhash
 
         words, level = Words(), np.frombuffer(levels, np.uint8)
-        for batch in batches:
+        for batch in _small(batches):
             ids = batch.column("id")
             n, k1, k2, prefix = [], [], [], []
             for own in shingle_sets(batch.column("text"), width, words):
@@ -93,7 +100,7 @@ def _sets(width: int, wanted: bytes):
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
         words, bits = Words(), np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little")
-        for batch in batches:
+        for batch in _small(batches):
             fit = [i is not None and bool(bits[_slot(i)]) for i in batch.column("id").to_pylist()]
             batch = batch.filter(pa.array(fit, pa.bool_()))
             own = [x.tobytes() for x in shingle_sets(batch.column("text"), width, words)]
@@ -145,8 +152,7 @@ def _linked(pairs: DataFrame, source: DataFrame, width: int, percent: int, scrat
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     for w, b in words.collect():
         bits[w] = b
-    sets = scratch.table(source.mapInArrow(_sets(width, bits.tobytes()), "id long, own binary").dropDuplicates(["id"]))
-    # ordered by a, so that a hot document's set is unpacked once a run
+    sets = scratch.table(source.mapInArrow(_sets(width, bits.tobytes()), "id long, own binary"))
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a"
     )
@@ -170,8 +176,8 @@ def jaccard_groups(
 
     All shingles have one global order: those that several documents of a partition share come later, by
     how many share them, from a table of fixed size. A document's prefix holds the rarest of its
-    shingles: with ``n - ceil(t n) + l`` of them, documents that link share at least ``l``. First every
-    posting list links its members to its smallest one. What stays apart is joined on shared prefix
+    shingles: with ``n - ceil(t n) + l`` of them, documents that link share at least ``l``. First members
+    of posting lists are compared with the smallest one, where they share a quarter of a prefix. What stays apart is joined on shared prefix
     tokens: each document takes its own ``l`` by the estimated number of candidates of its prefix, and a
     pair needs the smaller ``l`` of the two before its whole sets are compared. Pairs that are already
     connected are skipped, so a large group of near copies costs links by its size, not by its square,
@@ -192,20 +198,30 @@ def jaccard_groups(
         classes = scratch.table(
             table.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
         )
+        keys = table.where("n > 0").agg(
+            F.count("id").alias("rows"), F.count_distinct("id", "k1").alias("ids")
+        ).first()
         reps = classes.select(F.col("rep").alias("id"), "k1", "k2")
         base = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)  # prefix length for l matches: base + l
-        heads = scratch.table(
-            table.join(reps, ["id", "k1", "k2"])
-            .dropDuplicates(["id", "k1", "k2"])
-            .select("id", "n", base.cast("int").alias("base"), "prefix")
-        )
+        heads = table.join(reps, ["id", "k1", "k2"]).select("id", "n", base.cast("int").alias("base"), "prefix")
+        if keys["rows"] > keys["ids"]:  # rows that share an id and a set
+            heads = heads.dropDuplicates(["id", "n"])
         postings = heads.select("id", "n", "base", F.posexplode("prefix").alias("pos", "token"))
-        lists = scratch.table(
-            postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("first")).where("df > 1")
+        by_token = Window.partitionBy("token")
+        shared = scratch.table(
+            postings.withColumns(
+                {"df": F.count(F.lit(1)).over(by_token), "first": F.min(F.struct("id", "n")).over(by_token)}
+            ).where("df > 1")
+        )
+        alike = f"100 * n >= {percent} * first.n and 100 * first.n >= {percent} * n"
+        star = (
+            shared.where(f"id <> first.id and {alike}")
+            .groupBy(F.col("first.id").alias("a"), F.col("id").alias("b"))
+            .agg(F.count(F.lit(1)).alias("met"), F.min("base").alias("base"))
+            .where("4 * met > base")
+            .select("a", "b")
         )
-        shared = scratch.table(postings.join(lists, "token"))
-        star = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        links = _linked(star, source, width, percent, scratch)
+        links = _linked(scratch.table(star), source, width, percent, scratch)
         near = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
         # what is left: pairs of different components that share enough of their adaptive prefixes
@@ -213,7 +229,7 @@ def jaccard_groups(
             "component", F.coalesce("component", "id")
         )
         cost = shared.groupBy("id").agg(F.sum(F.when(F.col("pos") <= F.col("base"), F.col("df") - 1)).alias("cost"))
-        wants = F.least(F.lit(MOST_MATCHES), 1 + F.floor(F.log2(1 + F.coalesce("cost", F.lit(0)) / 64)), F.col("n") - F.col("base"))
+        wants = F.least(F.lit(MOST_MATCHES), 1 + F.floor(F.coalesce("cost", F.lit(0)) / 16), F.col("n") - F.col("base"))
         placed = placed.join(cost, "id").withColumn("l", F.greatest(F.lit(1), wants).cast("int"))
         placed = scratch.table(
             placed.where("pos < base + l").select("token", "id", "n", "l", "component")

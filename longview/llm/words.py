@@ -13,7 +13,7 @@ ship(__name__)
 BASE = 0x2127599BF4325C37  # odd, so that it has an inverse modulo 2^64
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once; a longer text is handled alone.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
