@@ -19,6 +19,8 @@ ORDER_BITS = 22
 FILTER_BITS = 23
 #: The most extra prefix tokens a costly document takes.
 MOST_MATCHES = 12
+#: Documents that share a prefix token from which it counts as common.
+COMMON = 32
 
 
 def _small(batches: Iterator, rows: int = 512) -> Iterator:
@@ -228,9 +230,13 @@ def jaccard_groups(
         placed = shared.join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
             "component", F.coalesce("component", "id")
         )
-        cost = shared.groupBy("id").agg(F.sum(F.when(F.col("pos") <= F.col("base"), F.col("df") - 1)).alias("cost"))
+        cost = shared.groupBy("id").agg(
+            F.sum(F.when(F.col("pos") <= F.col("base"), F.col("df") - 1)).alias("cost"),
+            # a longer prefix must not reach a common token, which would cost more than the extra match saves
+            F.min(F.when((F.col("pos") > F.col("base")) & (F.col("df") > COMMON), F.col("pos"))).alias("wall"),
+        )
         wants = F.least(F.lit(MOST_MATCHES), 1 + F.floor(F.coalesce("cost", F.lit(0)) / 16), F.col("n") - F.col("base"))
-        placed = placed.join(cost, "id").withColumn("l", F.greatest(F.lit(1), wants).cast("int"))
+        placed = placed.join(cost, "id").withColumn("l", F.greatest(F.lit(1), F.least(wants, F.coalesce(F.col("wall") - F.col("base"), wants))).cast("int"))
         placed = scratch.table(
             placed.where("pos < base + l").select("token", "id", "n", "l", "component")
         )
