@@ -179,7 +179,7 @@ def jaccard_groups(
     All shingles have one global order: those that several documents of a partition share come later, by
     how many share them, from a table of fixed size. A document's prefix holds the rarest of its
     shingles: with ``n - ceil(t n) + l`` of them, documents that link share at least ``l``. First members
-    of posting lists are compared with the smallest one, where they share a quarter of a prefix. What stays apart is joined on shared prefix
+    of posting lists are compared with the most central one, where they share a quarter of a prefix. What stays apart is joined on shared prefix
     tokens: each document takes its own ``l`` by the estimated number of candidates of its prefix, and a
     pair needs the smaller ``l`` of the two before its whole sets are compared. Pairs that are already
     connected are skipped, so a large group of near copies costs links by its size, not by its square,
@@ -210,11 +210,11 @@ def jaccard_groups(
             heads = heads.dropDuplicates(["id", "n"])
         postings = heads.select("id", "n", "base", F.posexplode("prefix").alias("pos", "token"))
         by_token = Window.partitionBy("token")
-        shared = scratch.table(
-            postings.withColumns(
-                {"df": F.count(F.lit(1)).over(by_token), "first": F.min(F.struct("id", "n")).over(by_token)}
-            ).where("df > 1")
-        )
+        lists = scratch.table(postings.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1"))
+        # a list's center is the member with the most shared tokens: of near copies, the one they were made from
+        central = lists.groupBy("id").agg(F.count(F.lit(1)).alias("central"))
+        center = F.max(F.struct("central", F.bitwise_not("id").alias("last"), "id", "n")).over(by_token)
+        shared = scratch.table(lists.join(central, "id").withColumn("first", center).drop("central"))
         alike = f"100 * n >= {percent} * first.n and 100 * first.n >= {percent} * n"
         star = (
             shared.where(f"id <> first.id and {alike}")
@@ -238,7 +238,7 @@ def jaccard_groups(
         wants = F.least(F.lit(MOST_MATCHES), 1 + F.floor(F.coalesce("cost", F.lit(0)) / 16), F.col("n") - F.col("base"))
         placed = placed.join(cost, "id").withColumn("l", F.greatest(F.lit(1), F.least(wants, F.coalesce(F.col("wall") - F.col("base"), wants))).cast("int"))
         placed = scratch.table(
-            placed.where("pos < base + l").select("token", "id", "n", "l", "component")
+            placed.where("pos < base + l").select("token", "id", "n", "l", "component", "pos")
         )
         mixed = (
             placed.groupBy("token")
@@ -246,13 +246,19 @@ def jaccard_groups(
             .where("lo <> hi")
             .select("token")
         )
-        open_lists = scratch.table(placed.join(mixed, "token", "left_semi"))
+        # where one shared token is enough, a pair is made at its first: not where the tokens before are the same
+        in_order = Window.partitionBy("id").orderBy("pos")
+        open_lists = placed.join(mixed, "token", "left_semi").withColumn("prev", F.lag("token").over(in_order))
+        open_lists = scratch.table(open_lists)
         x, y = open_lists.alias("x"), open_lists.alias("y")
         pairs = (
             x.join(
                 y,
                 F.expr(
                     "x.token = y.token and x.id < y.id and x.component <> y.component "
+                    "and (least(x.l, y.l) > 1 or coalesce(x.prev <> y.prev, true) "
+                    # nothing before the first shared token is shared: what follows must be enough
+                    f"and (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)) "
                     f"and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
                 ),
             )
