@@ -70,8 +70,8 @@ def shard(
 
     Shards are near equal in bytes, where a row's size is its UTF-8 bytes plus one (a null text: one).
     Rows are ordered by a hash of the text; splitters are found by histogram sort, so rows move once.
-    Equal texts share a shard. Only a group of copies that would fill over half a shard is spread over
-    the key space by its ids, since no law of near equal bytes can hold it whole; groups above
+    Equal texts share a shard. Only a group of copies that fits whole into no shard's equal share is
+    spread over the key space by its ids (rows that repeat an id and a text stay together); groups above
     ``tolerance`` of a shard (at most shards / tolerance of them reach the driver) are placed whole first,
     the largest into the emptiest shard, and the splitters fill each shard up to its equal share.
 
@@ -99,7 +99,7 @@ def shard(
         load, whole, spread = [0] * shards, {}, []
         for r in sorted(heavy, key=lambda r: (-r["bytes"], r["_t"])):
             least = min(range(shards), key=lambda k: (load[k], k))
-            if r["bytes"] > share // 2 or load[least] + r["bytes"] > share:
+            if load[least] + r["bytes"] > share:
                 spread.append(r["_t"])
             else:
                 whole[r["_t"]] = least
