@@ -86,6 +86,7 @@ class Splitter:
 def _encoder(path: str):
     def encode(batches: Iterator) -> Iterator:
         import os
+        from array import array
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
@@ -100,14 +101,21 @@ def _encoder(path: str):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                pieces = [split(t or "") for t in batch.column("text").to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                fresh = {f for own in pieces for f in own if f not in known}
+                pieces, found, fresh = [], [], set()
+                for text in batch.column("text").to_pylist():
+                    own = split(text or "")
+                    codes = list(map(known.get, own))
+                    if None in codes:
+                        fresh.update(f for f, c in zip(own, codes, strict=True) if c is None)
+                        codes = None
+                    pieces.append(own)
+                    found.append(codes)
                 for group in _groups(fresh):
                     for f, e in zip(group, many(group, add_special_tokens=False), strict=True):
-                        known[f] = np.array(e.ids, np.int32).tobytes()
-                coded = [b"".join([known[f] for f in own]) for own in pieces]
+                        known[f] = array("i", e.ids).tobytes()
+                coded = [b"".join(map(known.__getitem__, own) if c is None else c) for own, c in zip(pieces, found, strict=True)]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
@@ -134,21 +142,31 @@ def _decoder(path: str):
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = token_bytes(path)
+        table = pa.array(token_bytes(path), pa.large_binary())
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                column = batch.column("ids")
-                ends, flat = column.offsets.to_pylist(), column.values
-                texts = []
-                for a, b, null in zip(ends, ends[1:], column.is_null().to_pylist(), strict=False):
-                    raw = b"".join([table[i] for i in flat.slice(a, b - a).to_numpy().tolist()])
-                    texts.append(None if null else raw.decode("utf-8", "replace"))
-                yield batch.append_column("decoded", pa.array(texts, pa.string()))
+                yield batch.append_column("decoded", _texts(batch.column("ids"), table))
 
     return decode
 
 
+def _texts(ids, table):
+    """The text of each list of ``ids``: one gather of the tokens' bytes, cut at the lists' ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = ids.offsets.to_numpy()
+    tokens = table.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+    if tokens.null_count:
+        raise ValueError("ids hold nulls")
+    at = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :][ends - ends[0]] if len(tokens) else np.zeros(len(ends), np.int64)
+    raw = bytes(memoryview(tokens.buffers()[2])[at[0] : at[-1]]) if at[-1] > at[0] else b""
+    bounds = at - at[0]
+    parts = [None if null else raw[a:b] for a, b, null in zip(bounds[:-1], bounds[1:], ids.is_null().to_pylist(), strict=True)]
+    return pa.array([None if p is None else p.decode("utf-8", "replace") for p in parts], pa.string())
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each text, as the tokenizers library gives them without special tokens added.
 
