@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from longview.llm import bpe, language, mixing, pii, sharding, toxicity, urls
+from longview.llm import bpe, language, mixing, ngram, pii, sharding, toxicity, urls
 from longview.llm.common import components
 from longview.llm.embeddings import near_duplicates
 from longview.llm.exact import exact_duplicates, without_duplicates
@@ -72,6 +72,32 @@ def test_jaccard_groups(spark, docs):
     assert 2 not in {r["doc_id"] for r in one_of_each_group(docs).collect()}
 
 
+def test_jaccard_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "CHUNK", 8)  # the group is dealt out as pairs of chunks
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(80)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(100, "alone " * 3), (101, None), (102, ""), (None, " ".join(base))]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else set()
+
+    def links(i):
+        both = [len(sets[i] & sets[j]) for j in sets if j is not None and j != i]
+        sizes = [len(sets[j]) for j in sets if j is not None and j != i]
+        return sum(b > 0 and 100 * b >= 85 * (len(sets[i]) + n - b) for b, n in zip(both, sizes, strict=True))
+
+    expected = {i: 0 if i is None else links(i) for i in sets}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()}
+    assert got == expected and sum(expected.values()) > 4 * 60
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
