@@ -132,26 +132,61 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(table[-1, -1]))
 
 
-def series_distances(long: DataFrame, pairs: DataFrame, key: str = "obs_id", least: int = 4) -> DataFrame:
+def _dtw_block(a: np.ndarray, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """:func:`dtw` of one series with each column of ``block`` (time, series), of which ``sizes`` values count."""
+    last = np.full((block.shape[0] + 1, block.shape[1]), np.inf)
+    last[0] = 0
+    for x in a:
+        cost, row = (x - block) ** 2, np.full_like(last, np.inf)
+        for j in range(block.shape[0]):
+            row[j + 1] = cost[j] + np.minimum(np.minimum(last[j], last[j + 1]), row[j])
+        last = row
+    return np.sqrt(last[sizes, np.arange(block.shape[1])])
+
+
+def series_distances(long: DataFrame, queries: DataFrame, key: str = "obs_id", least: int = 4, block: int = 512) -> DataFrame:
     """(a, b, distance): the mean DTW distance over variables for which both have ``least`` values; 0 if none.
 
-    ``pairs(a, b)`` says which observations to compare.
+    Every observation of ``queries`` (a bounded set, sent to every task) is compared with every other one of
+    ``long``, by blocks.
     """
-    series = long.where("value is not null").groupBy(key, "var").agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("v")))).alias("s"))
-    series = series.select(F.col(key).alias("k"), "var", F.transform("s", lambda x: x["v"]).alias("s")).where(F.size("s") >= least)
-    joined = pairs.join(series.select(F.col("k").alias("a"), "var", F.col("s").alias("x")), "a", "left").join(
-        series.select(F.col("k").alias("b"), "var", F.col("s").alias("y")), ["b", "var"], "left"
-    )
+    point = F.when(F.col("value").isNotNull(), F.struct("t", F.col("value").cast("double").alias("v")))
+    series = long.groupBy(F.col(key).cast("long").alias("k"), "var").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    series = series.groupBy("k").agg(F.collect_list(F.struct("var", F.transform("s", lambda x: x["v"]).alias("s"))).alias("vars"))
+    asked = queries.select(F.col(key).cast("long").alias("k")).distinct()
+    rows = series.join(asked, "k", "left_semi").orderBy("k").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("at most 100000 queries at once")
+    wanted = [(r["k"], {v["var"]: np.array(v["s"], float) for v in r["vars"] if len(v["s"]) >= least}) for r in rows]
 
-    def distances(batches):
+    def scan(batches):
         import pandas as pd
 
         for pdf in batches:
-            d = [dtw(np.asarray(x), np.asarray(y)) if x is not None and y is not None else np.nan for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "d": d})
-
-    found = joined.select("a", "b", "x", "y").mapInPandas(distances, "a long, b long, d double")
-    return found.groupBy("a", "b").agg(F.coalesce(F.avg(F.when(~F.isnan("d"), F.col("d"))), F.lit(0.0)).alias("distance"))
+            for low in range(0, len(pdf), block):
+                own = pdf["k"].to_numpy()[low : low + block]
+                by_var = {}
+                for i, found in enumerate(pdf["vars"].iloc[low : low + block]):
+                    for v in found:
+                        if len(v["s"]) >= least:
+                            by_var.setdefault(v["var"], []).append((i, v["s"]))
+                padded = {}
+                for var, held in by_var.items():
+                    at, sizes = np.array([i for i, _ in held]), np.array([len(x) for _, x in held])
+                    grid = np.zeros((sizes.max(), len(held)))
+                    for c, (_, x) in enumerate(held):
+                        grid[: len(x), c] = x
+                    padded[var] = at, grid, sizes
+                for k, mine in wanted:
+                    total, times = np.zeros(len(own)), np.zeros(len(own))
+                    for var in sorted(mine.keys() & padded.keys()):
+                        at, grid, sizes = padded[var]
+                        total[at] += _dtw_block(mine[var], grid, sizes)
+                        times[at] += 1
+                    out = pd.DataFrame({"a": k, "b": own, "distance": total / np.maximum(times, 1)})
+                    yield out[own != k]
+
+    return series.mapInPandas(scan, "a long, b long, distance double")
 
 
 def ncp(tensor: np.ndarray, rank: int = 4, rounds: int = 300, tolerance: float = 1e-8, seed: int = 0) -> list[np.ndarray]:

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from longview.frame import HealthFrame, infer_feature_types, to_long
 from longview.functions import stats
-from longview.operators import association, encode, filters, impute, normalize, quality, ranking, survival
+from longview.operators import association, embedding, encode, filters, impute, normalize, quality, ranking, survival
+from longview.plans import catalogue
 
 
 def col(df, name, key="obs_id"):
@@ -103,3 +105,26 @@ def test_types(spark):
     frame = HealthFrame(x=spark.createDataFrame([(0, 1, "u", 0.5), (1, 0, "v", 1.5), (2, 1, "u", 2.5)], "obs_id int, flag int, s string, v double"))
     assert infer_feature_types(frame).types == {"flag": "categorical", "s": "categorical", "v": "numeric"}
     assert not math.isnan(1.0)
+
+
+def test_series_are_compared_with_all_others(spark):
+    rng = np.random.default_rng(0)
+    held = {(i, v): rng.normal(size=rng.integers(2, 9)) for i in range(0, 120, 3) for v in "xy"}
+    rows = [(i, v, t, float(x)) for (i, v), s in held.items() for t, x in enumerate(s)] + [(i, "x", 99, None) for i in range(0, 120, 3)] + [(200, "y", 1, None)]
+    long = spark.createDataFrame(rows, "obs_id int, var string, t int, value double")
+    ids, queries = [*range(0, 120, 3), 200], [0, 3, 60]
+    expected = {}
+    for a in queries:
+        for b in ids:
+            both = [embedding.dtw(held[a, v], held[b, v]) for v in "xy" if min(len(held.get((a, v), ())), len(held.get((b, v), ()))) >= 4]
+            expected[a, b] = sum(both) / max(1, len(both))
+    found = embedding.series_distances(long, long.where("obs_id in (0, 3, 60)"), block=16).collect()
+    got = {(r["a"], r["b"]): r["distance"] for r in found}
+    assert got == pytest.approx({k: d for k, d in expected.items() if k[0] != k[1]}) and len(found) == len(got)
+
+
+def test_dtw_query_searches_every_series(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    pairs = {(r["a"], r["b"]) for r in catalogue.queries()["dtw_distances"](spark, sf).collect()}
+    assert pairs == {(a, b) for a in ids for b in ids if a % 50 == 0 and a != b}
