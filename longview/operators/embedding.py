@@ -82,6 +82,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def nearest_all(vectors: DataFrame, k: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """(query, neighbor, distance): the exact k nearest of every vector by cosine, itself left out.
+
+    Vectors are dealt to chunks of about ``block`` by a hash of the id. All vectors stream past each chunk, its own
+    first, in one group of rows; a group holds its chunk and the k nearest so far, and hands those on.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
+    m = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("i"), F.lit(m)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    dealt = dealt.select("q", (F.col("chunk") != F.col("q")).alias("far"), "i", "v").repartition("q").sortWithinPartitions("q", "far")
+
+    def compare(batches):
+        import pandas as pd
+
+        def closest():
+            kept = np.isfinite(top)
+            return pd.DataFrame({"query": np.repeat(ids, kept.sum(1)), "neighbor": who[kept], "distance": top[kept]})
+
+        def search(own, x):
+            for low in range(0, len(ids), 512):
+                part = slice(low, low + 512)
+                d = 1 - unit[part] @ x.T
+                d[ids[part, None] == own[None]] = np.inf
+                d = np.concatenate((top[part], d), axis=1)
+                at = np.argpartition(d, k - 1, axis=1)[:, :k]
+                names = np.concatenate((who[part], np.broadcast_to(own, (len(d), len(own)))), axis=1)
+                top[part], who[part] = np.take_along_axis(d, at, 1), np.take_along_axis(names, at, 1)
+
+        def settle():
+            found = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting.clear()
+            return *found, np.full((len(found[0]), k), np.inf), np.zeros((len(found[0]), k), np.int64)
+
+        now, waiting, ids, unit, top, who = None, [], None, None, None, None
+        for pdf in batches:
+            for q, rows in pdf.groupby("q", sort=True):
+                own, far, x = rows["i"].to_numpy(), rows["far"].to_numpy(), np.stack(rows["v"]).astype(float)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                if q != now:
+                    if waiting:
+                        ids, unit, top, who = settle()
+                        search(ids, unit)
+                    if top is not None:
+                        yield closest()
+                    now, top = q, None
+                if not far.all():
+                    waiting.append((own[~far], x[~far]))
+                if far.any():
+                    if waiting:
+                        ids, unit, top, who = settle()
+                        search(ids, unit)
+                    if top is not None:  # None where no vector fell into the chunk
+                        search(own[far], x[far])
+        if waiting:
+            ids, unit, top, who = settle()
+            search(ids, unit)
+        if top is not None:
+            yield closest()
+
+    return dealt.mapInPandas(compare, "query long, neighbor long, distance double")
+
+
 def group_graph(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(g1, g2, weight, ratio): edge weight between groups, against what random edges would give."""
     a = labels.select(F.col("id").alias("i"), F.col("label").alias("g1"))

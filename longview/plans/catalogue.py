@@ -555,7 +555,7 @@ def neighbors(spark, sf):
 @register()
 def neighbor_groups(spark, sf):
     v = _t(spark, sf, "embeddings")
-    edges = embedding.nearest(v, v.where("vec_id % 50 = 0"), 10).select(F.col("query").alias("i"), F.col("neighbor").alias("j"), (1 - F.col("distance")).alias("weight"))
+    edges = embedding.nearest_all(v, 10).select(F.col("query").alias("i"), F.col("neighbor").alias("j"), (1 - F.col("distance")).alias("weight"))
     return embedding.group_graph(edges, v.select(F.col("vec_id").alias("id"), "label"))
 
 

@@ -128,3 +128,19 @@ def test_dtw_query_searches_every_series(spark):
     ids = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
     pairs = {(r["a"], r["b"]) for r in catalogue.queries()["dtw_distances"](spark, sf).collect()}
     assert pairs == {(a, b) for a in ids for b in ids if a % 50 == 0 and a != b}
+
+
+def test_group_graph_rests_on_all_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 8))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T + np.diag(np.full(90, np.inf))
+    got = {(r["query"], r["neighbor"]) for r in embedding.nearest_all(table, 5, block=20).collect()}
+    assert got == {(i, int(j)) for i in range(90) for j in np.argsort(d[i])[:5]}
+    sf = "/root/testdata/sf0.001"
+    labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    graph = catalogue.queries()["neighbor_groups"](spark, sf).collect()
+    assert {r["g1"] for r in graph} == set(labels.values())
+    # an edge weighs at most 1, so ten edges from each 50th vector alone could not weigh as much
+    assert sum(r["weight"] for r in graph) > 10 * sum(i % 50 == 0 for i in labels)
