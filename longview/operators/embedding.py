@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, centred cross products, rows) from one aggregation of p^2 sums."""
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    made = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]
-    made += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *made).first()
-    n, p = row["n"], len(x)
+    """(mean, centred cross products, rows), from one row of sums a partition."""
+    p = len(columns)
+
+    def sums(batches):
+        import pandas as pd
+
+        n, s, g = 0, np.zeros(p), np.zeros((p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
+        yield pd.DataFrame({"n": [n], "s": [s], "g": [g.ravel()]})
+
+    x = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)))
+    parts = x.mapInPandas(sums, "n long, s array<double>, g array<double>").collect()
+    n = sum(r["n"] for r in parts)
     if not n:
         return np.zeros(p), np.zeros((p, p)), 0
-    mean = np.array([row[f"s{i}"] for i in range(p)]) / n
-    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    mean, g = sum(np.array(r["s"]) for r in parts) / n, sum(np.array(r["g"]) for r in parts).reshape(p, p)
     return mean, g - n * np.outer(mean, mean), n
 
 

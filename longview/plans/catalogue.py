@@ -536,8 +536,10 @@ def causal_positivity(spark, sf):
 # decomposition, graphs, series
 @register()
 def pca(spark, sf):
-    df = _t(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)))
-    return embedding.pca(df, [f"e{i}" for i in range(16)], 2, "vec_id")[0]
+    v = _t(spark, sf, "embeddings")
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    df = v.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)))
+    return embedding.pca(df, [f"e{i}" for i in range(width)], 2, "vec_id")[0]
 
 
 @register()

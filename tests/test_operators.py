@@ -144,3 +144,16 @@ def test_group_graph_rests_on_all_vectors(spark):
     assert {r["g1"] for r in graph} == set(labels.values())
     # an edge weighs at most 1, so ten edges from each 50th vector alone could not weigh as much
     assert sum(r["weight"] for r in graph) > 10 * sum(i % 50 == 0 for i in labels)
+
+
+def test_pca_uses_every_component(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x -= x.mean(0)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    load = vectors[:, ::-1][:, :2]
+    load = load * np.sign(load[np.abs(load).argmax(0), range(2)])
+    got = catalogue.queries()["pca"](spark, sf).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == [r["vec_id"] for r in rows]
+    assert np.allclose([[r["pc1"], r["pc2"]] for r in got], x @ load, atol=1e-5)
