@@ -20,6 +20,8 @@ SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Tokens in one training sequence.
 SEQUENCE = 128
+#: Training sequences whose forward and backward passes are in memory at a time.
+CHUNK = 1024
 MOST_EVIDENCE = 6.0
 
 
@@ -130,48 +132,68 @@ def marginals(score: np.ndarray, fresh: np.ndarray, moves: np.ndarray) -> np.nda
     return p[:, 1] / p.sum(1)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, rounds: int = 80, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _padded(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequences, tokens, features), labels and the mask of what is no padding."""
+    shape = len(xs), max(map(len, xs))
+    grid, label, valid = np.zeros((*shape, xs[0].shape[1])), np.zeros(shape), np.zeros(shape)
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        grid[i, : len(x)], label[i, : len(x)], valid[i, : len(x)] = x, y, 1
+    return grid, label, valid
+
+
+def _seen(x: np.ndarray, y: np.ndarray, mask: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What the labels add up to: features of marked tokens, marked starts, and moves up, down and on."""
+    w, pair = times[:, None], mask[:, 1:] * times[:, None]
+    moves = [((1 - y[:, :-1]) * y[:, 1:] * pair).sum(), (y[:, :-1] * (1 - y[:, 1:]) * pair).sum(), (y[:, :-1] * y[:, 1:] * pair).sum()]
+    return np.concatenate([np.einsum("nsf,ns->f", x, y * mask * w), [(y[:, 0] * mask[:, 0] * times).sum()], moves])
+
+
+def _expected(x: np.ndarray, mask: np.ndarray, times: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """The same sums, as the chain with weights ``theta`` expects them."""
+    n, steps, width = x.shape
+    on = np.exp(np.clip(x @ theta[:width], -40, 40)) * mask
+    begin, up, down, stay = np.exp(theta[width:])
+    a = np.empty((n, steps, 2))
+    a[:, 0, 0], a[:, 0, 1] = 1, begin * on[:, 0]
+    a[:, 0] /= a[:, 0].sum(1, keepdims=True)
+    for t in range(1, steps):
+        a[:, t, 0] = a[:, t - 1, 0] + a[:, t - 1, 1] * down
+        a[:, t, 1] = (a[:, t - 1, 0] * up + a[:, t - 1, 1] * stay) * on[:, t]
+        a[:, t] /= a[:, t].sum(1, keepdims=True)
+    b = np.ones((n, 2))
+    p1, moves = np.zeros((n, steps)), np.zeros(3)
+    for t in range(steps - 1, -1, -1):
+        both = a[:, t] * b
+        p1[:, t] = both[:, 1] / both.sum(1)
+        if t:
+            w = np.stack([a[:, t - 1, 0] * b[:, 0], a[:, t - 1, 0] * up * on[:, t] * b[:, 1], a[:, t - 1, 1] * down * b[:, 0], a[:, t - 1, 1] * stay * on[:, t] * b[:, 1]])
+            w /= w.sum(0)
+            moves += (w[1:] * (mask[:, t] * times)).sum(1)
+            b = np.stack([b[:, 0] + up * on[:, t] * b[:, 1], down * b[:, 0] + stay * on[:, t] * b[:, 1]], 1)
+            b /= b.sum(1, keepdims=True)
+    p1 *= mask * times[:, None]
+    return np.concatenate([np.einsum("nsf,ns->f", x, p1), [p1[:, 0].sum()], moves])
+
+
+def fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], times: np.ndarray, rounds: int = 80, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood (with weight decay) of the emission and transition weights by Adam.
 
-    ``x`` is (sequences, tokens, features), ``y`` the labels, ``valid`` masks padding.
+    ``xs`` holds each sequence's (tokens, features), ``ys`` its labels, and ``times`` how often it occurs. Sums over
+    all of them are made by chunks.
     """
-    n, steps, width = x.shape
+    chunks = [slice(at, at + CHUNK) for at in range(0, len(xs), CHUNK)]
+    width, total = xs[0].shape[1], max(1, times.sum())
     theta = np.zeros(width + 4)
     theta[0], theta[width + 3] = -2.0, 0.5
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    yf, mask = y * valid, valid.astype(float)
-    pair = mask[:, 1:]
-    seen = np.concatenate(
-        [
-            (x * yf[..., None]).sum((0, 1)),
-            [yf[:, 0].sum(), ((1 - y[:, :-1]) * y[:, 1:] * pair).sum(), (y[:, :-1] * (1 - y[:, 1:]) * pair).sum(), (y[:, :-1] * y[:, 1:] * pair).sum()],
-        ]
-    )
+    first, second, seen = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
+    for c in chunks:
+        seen += _seen(*_padded(xs[c], ys[c]), times[c])
     for step in range(1, rounds + 1):
-        u = x @ theta[:width]
-        on = np.exp(np.clip(u, -40, 40)) * mask
-        begin, up, down, stay = np.exp(theta[width:])
-        a = np.empty((n, steps, 2))
-        a[:, 0, 0], a[:, 0, 1] = 1, begin * on[:, 0]
-        a[:, 0] /= a[:, 0].sum(1, keepdims=True)
-        for t in range(1, steps):
-            a[:, t, 0] = a[:, t - 1, 0] + a[:, t - 1, 1] * down
-            a[:, t, 1] = (a[:, t - 1, 0] * up + a[:, t - 1, 1] * stay) * on[:, t]
-            a[:, t] /= a[:, t].sum(1, keepdims=True)
-        b = np.ones((n, 2))
-        p1, moves = np.zeros((n, steps)), np.zeros(3)
-        for t in range(steps - 1, -1, -1):
-            both = a[:, t] * b
-            p1[:, t] = both[:, 1] / both.sum(1)
-            if t:
-                w = np.stack([a[:, t - 1, 0] * b[:, 0], a[:, t - 1, 0] * up * on[:, t] * b[:, 1], a[:, t - 1, 1] * down * b[:, 0], a[:, t - 1, 1] * stay * on[:, t] * b[:, 1]])
-                w /= w.sum(0)
-                moves += (w[1:] * mask[:, t]).sum(1)
-                b = np.stack([b[:, 0] + up * on[:, t] * b[:, 1], down * b[:, 0] + stay * on[:, t] * b[:, 1]], 1)
-                b /= b.sum(1, keepdims=True)
-        p1 *= mask
-        expected = np.concatenate([(x * p1[..., None]).sum((0, 1)), [p1[:, 0].sum()], moves])
-        gradient = (seen - expected) / max(1, n) - decay * theta
+        expected = np.zeros_like(theta)
+        for c in chunks:
+            x, _, mask = _padded(xs[c], ys[c])
+            expected += _expected(x, mask, times[c], theta)
+        gradient = (seen - expected) / total - decay * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.98 * second + 0.02 * gradient**2
         theta = theta + 0.25 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
     return theta[:width], theta[width:]
@@ -296,23 +318,19 @@ def train(
     rows = sample.mapInArrow(_sequences(tagger), "key long, toxic int, word binary, begin binary").toPandas().sort_values(["key", "toxic"])
     if not len(rows):
         return Tagger(document=np.array([np.log(sizes[1] / sizes[0]), 0, 0, 0]))
-    xs, ys, documents = [], [], []
+    windows, documents = {}, []  # equal windows count once, with how often they occur
     for toxic, word, begin in zip(rows["toxic"], rows["word"], rows["begin"], strict=True):
         e, p = np.frombuffer(word, np.float16).astype(np.float32), np.frombuffer(begin, np.float16).astype(np.float32)
         x = design(e, p, np.array([0, len(e)]))
         y = ((np.maximum(e, p) >= 2.5) & (toxic == 1)).astype(float)
         documents.append(x)
         for at in range(0, len(e), SEQUENCE):
-            if e[at : at + SEQUENCE].any() or p[at : at + SEQUENCE].any() or at == 0:
-                xs.append(x[at : at + SEQUENCE])
-                ys.append(y[at : at + SEQUENCE])
-    xs, ys = xs[:8000], ys[:8000]
-    grid, label, valid = np.zeros((len(xs), SEQUENCE, 5)), np.zeros((len(xs), SEQUENCE)), np.zeros((len(xs), SEQUENCE), bool)
-    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-        grid[i, : len(x)], label[i, : len(x)], valid[i, : len(x)] = x, y, True
-    keep = valid[:, 0]
-    if keep.any():
-        tagger.emission, tagger.moves = fit_chain(grid[keep], label[keep], valid[keep])
+            own = x[at : at + SEQUENCE], y[at : at + SEQUENCE]
+            windows.setdefault((own[0].tobytes(), own[1].tobytes()), [*own, 0])[2] += 1
+    if windows:
+        xs, ys, times = zip(*windows.values(), strict=True)
+        tagger.emission, tagger.moves = fit_chain(list(xs), list(ys), np.array(times, float))
+    windows.clear()
     summaries = []
     for x in documents:
         fresh = np.zeros(len(x), bool)

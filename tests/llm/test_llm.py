@@ -206,6 +206,30 @@ def test_toxicity(spark):
     assert {text[s["start"] : s["end"]] for s in got[0]["spans"]} == {"nastyword", "vileterm"}
 
 
+def test_toxicity_trains_on_every_window(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEQUENCE", 4)
+    seen, fit = [], toxicity.fit_chain
+
+    def spy(xs, ys, times):
+        seen.append((sum(t * len(x) for x, t in zip(xs, times, strict=True)), times.sum(), sum(t * y.sum() for y, t in zip(ys, times, strict=True))))
+        assert np.allclose(fit(xs, ys, times, rounds=2)[0], fit(*zip(*[(x, y) for x, y, t in zip(xs, ys, times, strict=True) for _ in range(int(t))], strict=True), np.ones(int(times.sum())), rounds=2)[0])
+        return fit(xs, ys, times, rounds=2)
+
+    monkeypatch.setattr(toxicity, "fit_chain", spy)
+    rows, labels = [], []
+    for i in range(1000):
+        own = [f"w{(i * 7 + j) % 90}ord" for j in range(60)]
+        if i % 4 == 0:
+            own[40] = "nastyword"
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    used = marked.where(~toxicity.held_out(marked.doc_id)).groupBy("toxic").count()
+    n = {r["toxic"]: r["count"] for r in used.collect()}
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), marked)
+    assert seen == [(60 * (n[0] + n[1]), 15 * (n[0] + n[1]), n[1])] and seen[0][1] > 8000
+
+
 def test_marginals_are_exact():
     from itertools import product
 
