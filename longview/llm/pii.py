@@ -22,6 +22,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 #: Identifier-like tokens, from which the bootstrapped patterns may take instances.
 TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]*[0-9])[A-Za-z0-9@._%+/-]++"
+#: Identifiers written in short groups of digits and capitals: blanks, brackets and separators between them.
+_GROUP = r"[A-Z0-9]{1,5}+(?![A-Za-z0-9@_%+])"
+GROUPED = rf"(?<![A-Za-z0-9@._%+/-])[(\[]?{_GROUP}(?:(?:[)\]]?[\x20/.-]|[)\]])[(\[]?{_GROUP}){{1,11}}"
+#: What a text must hold for either to have four digits.
+FOUR_DIGITS = r"[0-9](?:[A-Za-z@._%+/()\[\]\x20-]*+[0-9]){3}"
 CONTEXT = 48
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -107,7 +112,7 @@ def _context(text: Column, start: Column) -> Column:
 
 def _items(text: Column, base: Column) -> Column:
     """Base spans and identifier-like tokens outside them, with context, shape and the text itself."""
-    tokens = F.when(F.rlike(text, F.lit("[0-9].{0,3}[0-9].{0,3}[0-9].{0,3}[0-9]")), located(text, TOKEN)).otherwise(
+    tokens = F.when(F.rlike(text, F.lit(FOUR_DIGITS)), F.array_distinct(F.concat(located(text, TOKEN), located(text, GROUPED)))).otherwise(
         F.array().cast("array<struct<start:int,end:int,found:string>>")
     )
     loose = F.filter(
@@ -134,7 +139,8 @@ def learned_patterns(items: DataFrame, rounds: int, least_seeds: int, least_scor
 
     ``items`` has context, shape, found and kind (null where the base patterns do not know it). An
     instance that they know scores 1. In turn a pattern scores the mean of its instances, one made-up
-    instance of score 0 added, and any other instance the mean of its patterns. Groups by pattern and
+    instance of score 0 added, and any other instance the mean over its contexts of the better pattern. A pattern is a context with an
+    exact shape, or a context alone, which takes shapes that no seed has. Groups by pattern and
     by instance are pre-aggregated, so a common context is no hot task.
     """
     known = F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
@@ -155,6 +161,8 @@ def learned_patterns(items: DataFrame, rounds: int, least_seeds: int, least_scor
         patterns = cut(patterns)
         scores = cut(
             edges.join(patterns.select("pattern", "p"), "pattern")
+            .groupBy("found", F.substring_index("pattern", "\u0001", 1).alias("context"))
+            .agg(F.max("seed").alias("seed"), F.max("p").alias("p"))
             .groupBy("found")
             .agg(F.greatest(F.max("seed"), F.avg("p")).alias("s"))
         )
@@ -172,7 +180,8 @@ def find_personal_data(
     """(doc_id, base, spans): personal data of every text, as arrays of (kind, start, end) in code points.
 
     ``base`` holds the matches of the base patterns that pass their checks. They seed a graph of lexical
-    patterns (the two words before an identifier, and its shape) and instances, over the whole corpus;
+    patterns (the two words before an identifier, with and without its shape) and instances, over the whole corpus;
+    instances hold four digits at least, in one token or in short groups of digits and capitals;
     patterns that keep a high score over ``rounds`` rounds and rest on ``least_seeds`` different seeds
     mark further identifiers, which ``spans`` adds under the kind of the pattern's seeds. ``spans`` is
     sorted by kind as listed, then start. A null text counts as empty, without spans. Repeated rows each
@@ -186,17 +195,21 @@ def find_personal_data(
             rows.select("id", F.xxhash64("text").alias("h"), "base", _items(F.col("text"), F.col("base")).alias("items"))
         )
         items = rows.select("id", "h", F.explode("items").alias("i")).select("id", "h", "i.*")
-        items = items.withColumn("pattern", F.concat_ws("\u0001", "context", "shape"))
+        exact, any_shape = F.concat_ws("\u0001", "context", "shape"), F.concat_ws("\u0001", "context", F.lit("*"))
+        items = items.withColumn("pattern", F.explode(F.array(exact, any_shape)))
         patterns = learned_patterns(items, rounds, least_seeds, least_score)
         order = F.transform(F.array(*map(F.lit, KINDS)), lambda k: k)
         more = (
             items.where("kind is null and context <> ''")
             .join(patterns, "pattern")
+            .groupBy("id", "h", "start", "end")
+            .agg(F.min_by("as_kind", F.struct(F.endswith("pattern", F.lit("\u0001*")), "as_kind")).alias("as_kind"))
             .groupBy("id", "h")
             .agg(F.collect_set(F.struct(F.col("as_kind").alias("kind"), "start", "end")).alias("more"))
         )
         key = [F.coalesce("id", F.lit(-(2**63))).alias("k"), "h"]
-        joined = rows.select(*key, "id", "base").join(more.select(*key, "more"), ["k", "h"], "left")
+        wider = lambda s: F.exists("more", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+        joined = rows.select(*key, "id", "base").join(more.select(*key, F.filter("more", lambda s: ~wider(s)).alias("more")), ["k", "h"], "left")
         every = F.concat("base", F.coalesce("more", F.array().cast(SPAN)))
         ranked = F.transform(
             every, lambda s: F.struct(F.array_position(order, s["kind"]).cast("int").alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))

@@ -166,6 +166,17 @@ def test_personal_data(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in found.collect()}[202] == 1  # known by its context alone
 
 
+def test_personal_data_of_unseen_shapes(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "4222222222222220", "5105105105105100", "4000056655665556"]
+    rows = [(i, f"Account number: {c}") for i, c in enumerate(cards)]
+    unseen = {100: "AB1234567", 101: "1234567890123", 102: "(555) 123 4567", 103: "GB29 NWBK 6016 1331 9268 19", 104: "AB1CDEF2GHIJ3KLM4"}
+    rows += [(i, f"Account number: {x} ok") for i, x in unseen.items()] + [(200 + i, f"item code {i}{i}12345 ok") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_personal_data(table).collect()}
+    assert {i: got[i] for i in unseen} == {i: [("card", 16, 16 + len(x))] for i, x in unseen.items()}
+    assert not any(got[200 + i] for i in range(9))
+
+
 def test_mixing(spark):
     clean = [(i, "plain words in a line " * (5 + i % 7)) for i in range(400)]
     junk = [(1000 + i, "bad!! %%% ### junk!! " * (5 + i % 5)) for i in range(200)]
