@@ -151,9 +151,9 @@ def _verify(percent: int):
 
         for batch in batches:
             keep, cache, last = [], None, None
-            for k, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True)):
-                if a != last:
-                    cache, last = np.frombuffer(x, np.uint64), a
+            for k, (x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True)):
+                if x != last:  # not by id: rows that share one may have different sets
+                    cache, last = np.frombuffer(x, np.uint64), x
                 other = np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(cache, other, assume_unique=True))
                 if 100 * both >= percent * (len(cache) + len(other) - both):
@@ -304,14 +304,10 @@ def jaccard_groups(
         classes = scratch.table(
             table.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
         )
-        keys = table.where("n > 0").agg(
-            F.count("id").alias("rows"), F.count_distinct("id", "k1").alias("ids")
-        ).first()
         reps = classes.select(F.col("rep").alias("id"), "k1", "k2")
         base = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)  # prefix length for l matches: base + l
-        heads = table.join(reps, ["id", "k1", "k2"]).select("id", "n", base.cast("int").alias("base"), "prefix")
-        if keys["rows"] > keys["ids"]:  # rows that share an id and a set
-            heads = heads.dropDuplicates(["id", "n"])
+        heads = table.join(reps, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"])
+        heads = heads.select("id", "n", base.cast("int").alias("base"), "prefix")
         postings = heads.select("id", "n", "base", F.posexplode("prefix").alias("pos", "token"))
         by_token = Window.partitionBy("token")
         lists = scratch.table(postings.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1"))

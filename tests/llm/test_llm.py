@@ -98,6 +98,13 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
     assert got == expected and sum(expected.values()) > 4 * 60
 
 
+def test_texts_that_share_an_id_and_a_size_keep_their_links(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (9, "again and again it comes"), (9, "again and again it comes")]
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (9, 9, 1)}
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
