@@ -27,12 +27,18 @@ ship(__name__)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is absent and all runs in one process.
+
+    On a cluster without that setting this raises: a machine-local folder would scatter the tables.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="longview-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="longview-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
     return folder
 
 
@@ -88,6 +94,17 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case of its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        out.append(stem)
+    return out
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
@@ -127,6 +144,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.select(F.col("u").alias("node"), "component").union(roots)
 
 
+def steps(batch, column: str, size: int, rows: int = 512) -> Iterator:
+    """``batch`` in slices of at most ``rows`` rows and about ``size`` bytes of the string ``column`` (one row at least)."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def runs(batches: Iterator, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
     """Yield the rows of each run of equal ``key`` from Arrow batches sorted by it, as NumPy columns.
 
