@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longview.llm.common import Scratch, cut, ship
+from longview.llm.common import Scratch, cut, ship, steps, unused
 
 ship(__name__)
 
@@ -16,6 +16,12 @@ IGNORED = b" \t\n\x0b\x0c\r"
 #: The columns that tell distinct rows apart (id with null filled, code points, leading digest bytes).
 KEY = ["k1", "points", "s"]
 NO_ID = -(2**63)
+#: Bytes of blocks, with what Python adds to each, that a worker remembers to leave repeats out before the shuffle.
+REMEMBERED = 1 << 23
+#: Bytes of text in one outgoing batch, about.
+STEP = 1 << 21
+#: At most so many classes are dealt out by salt; which ones follows from the number of rows.
+MOST_LARGE = 100_000
 
 
 def _reader(block_bytes: int, hash_bits: int, want: str):
@@ -35,8 +41,7 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
         shift, seen, held = 64 - hash_bits, set(), 0
         signed = lambda raw: int.from_bytes(raw, "big", signed=True)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in steps(whole, "text", STEP):
                 texts = batch.column("text")
                 points = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
                 out: dict[str, list] = {k: [] for k in ("k1", "points", "s", "id", "sha", "raw", "hs", "pos", "h", "block")}
@@ -49,7 +54,7 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
                         for h, b in zip(hs, blocks, strict=True):
                             if (h, b) not in seen:
                                 seen.add((h, b))
-                                held += len(b)
+                                held += len(b) + 200
                                 out["h"].append(h)
                                 out["block"].append(b)
                         continue
@@ -62,7 +67,7 @@ def _reader(block_bytes: int, hash_bits: int, want: str):
                         for pos, (h, b) in enumerate(zip(hs, blocks, strict=True)):
                             for k, v in zip(("k1", "points", "s", "pos", "h", "block"), (*key, pos, h, b), strict=True):
                                 out[k].append(v)
-                if held > 1 << 25:  # copies are told apart within 32 MB of blocks, the rest after the shuffle
+                if held > REMEMBERED:  # copies are told apart within these, the rest after the shuffle
                     seen, held = set(), 0
                 types = {"k1": pa.int64(), "points": pa.int64(), "s": pa.int64(), "id": pa.int64(), "sha": pa.string(), "raw": pa.int64(), "hs": pa.list_(pa.int64()), "pos": pa.int32(), "h": pa.int64(), "block": pa.binary()}
                 yield pa.RecordBatch.from_arrays(
@@ -99,7 +104,8 @@ def exact_duplicates(
 
     Fixed-size blocks of the normalised UTF-8 bytes are sorted into integer names; adjacent names are
     paired and the pairs named, level by level, until every text has one name. Equal names mean equal
-    texts, with no chance of a collision. The text is shuffled once, as distinct blocks (deduplicated
+    texts. A row is known by its id, code points and 64 leading bits of its digest, so only rows that share all
+    three are taken as one (a null id is one with the smallest long). The text is shuffled once, as distinct blocks (deduplicated
     before the shuffle); after that a block travels as a hash of ``hash_bits`` bits. Blocks that differ
     but share a hash are noticed, and their rows look names up by the bytes themselves.
 
@@ -107,8 +113,8 @@ def exact_duplicates(
     texts the row with the most code points in its original text stays, then the smallest id (a null id
     last). Returns (doc_id, keep_id, group_size, kept, text_sha256, text_hash), one row per input row, dropped ones
     too. Repeated rows that agree in id and text are each returned with the same values. An empty table
-    gives no rows. Classes of any size are counted by pre-aggregated shuffles, and AQE may split the join
-    that hands a result back to its rows.
+    gives no rows. Classes of any size are counted by pre-aggregated shuffles, and large ones get their result back
+    in salted parts, so no task holds a class.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     source = source.withColumn("raw", F.xxhash64("text"))
@@ -129,7 +135,15 @@ def exact_duplicates(
             F.max(F.struct("points", F.bitwise_not(F.coalesce("id", F.lit(2**63 - 1))).alias("last"))).alias("best"),
         )
         kept_id = F.bitwise_not(F.col("best.last"))
-        out = members.join(best, ["depth", "name"]).select(
+        best, n = scratch.table(best), members.count()
+        # no more than MOST_LARGE classes can be this large, so that the list of them is small by proof
+        large = best.where(F.col("group_size") > max(256, n // MOST_LARGE))
+        parts = F.ceil(F.col("group_size") / 256).cast("int")
+        own = members.join(F.broadcast(large.select("depth", "name", parts.alias("parts"))), ["depth", "name"], "left")
+        own = own.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k1"), "parts").cast("int"), F.lit(0)))
+        salted = best.join(F.broadcast(large.select("depth", "name", parts.alias("parts"))), ["depth", "name"], "left")
+        salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+        out = own.join(salted.drop("parts"), ["depth", "name", "salt"]).select(
             F.col("id").alias("doc_id"),
             F.when(kept_id != 2**63 - 1, kept_id).alias("keep_id"),
             "group_size",
@@ -187,12 +201,13 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Where rows agree in id and normalised text, the longest original text stays; rows that repeat each
     other wholly all stay or go together.
     """
+    k, h = unused(docs, "k", "h")
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     gone = (
         exact_duplicates(docs, id_col, text_col)
         .where("not kept")
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.col("text_hash").alias("_h"))
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias(k), F.col("text_hash").alias(h))
         .distinct()
     )
-    keyed = docs.withColumns({"_k": key, "_h": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    return keyed.join(gone, ["_k", "_h"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.withColumns({k: key, h: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    return keyed.join(gone, [k, h], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
