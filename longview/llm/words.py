@@ -30,8 +30,9 @@ class Words:
 
     def __init__(self, blanks: bytes = SPACES):
         value = np.random.default_rng(20240601).integers(1, 2**64, 256, dtype=np.uint64)
-        for a in range(ord("A"), ord("Z") + 1):
-            value[a] = value[a + 32]
+        if blanks:  # without blanks to split at, bytes are told apart as they are
+            for a in range(ord("A"), ord("Z") + 1):
+                value[a] = value[a + 32]
         self.value, self.space = value, np.zeros(256, bool)
         self.space[list(blanks)] = True
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -64,18 +65,24 @@ class Words:
         starts = np.flatnonzero(inside & (edge | fresh[:-1]))
         edge[-1:], edge[:-1] = True, blank[1:]
         ends = np.flatnonzero(inside & (edge | fresh[1:])) + 1
+        return starts, ends, self.sums(data)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums, from which :meth:`part` reads hashes off."""
+        n = len(data)
+        self._powers(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(self.value[data] * self.up[:n], out=total[1:])
-        return starts, ends, total
+        return total
 
     def part(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
         """Hashes of the bytes from ``starts`` to ``ends``; ``salt`` tells kinds of parts apart."""
         return _mixed(((total[ends] - total[starts]) * self.down[starts]) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
 
-def slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, bounds) of pieces of an Arrow string column, each about ``STEP`` bytes."""
+def slices(column, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, bounds) of pieces of an Arrow string column, each about ``step`` bytes."""
     import pyarrow as pa
 
     column = column.cast(pa.large_binary())
@@ -84,7 +91,7 @@ def slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
         end = min(end, len(column), at + 4096)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
