@@ -9,12 +9,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longview.llm.common import crc_of, ship
+from longview.llm.common import crc_of, ship, steps
 
 ship(__name__)
 
 #: Hash buckets of character n-grams.
 BUCKETS = 1 << 13
+#: Code points read at a time.
+PIECE = 1 << 18
+#: Powers of two of the number of grams, by which texts are called far from every centroid.
+BANDS = 40
+#: Lengths in code points of the pieces of training texts that show how close short texts come.
+PIECES = (4, 8, 16, 32, 64, 128, 256, 512)
 UNKNOWN = "und"
 
 
@@ -34,20 +40,32 @@ class Grams:
         self.code = np.where(letter, lower, 32).astype(np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray | None:
-        """Bucket counts, or None where the text has no letter."""
+        """Bucket counts, or None where the text has no letter. A long text is read piece by piece."""
         points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = self.code[points]
-        gap = c == 32
-        if gap.all():
-            return None
-        again = np.zeros(len(c), bool)
-        again[1:] = gap[1:] & gap[:-1]
-        c = np.concatenate(([np.uint64(32)], c[~again], [np.uint64(32)]))
+        counts, held, letters = np.zeros(BUCKETS, np.int64), np.array([32], np.uint64), False
+        for at in range(0, len(points) + 1, PIECE):
+            c = self.code[points[at : at + PIECE]]
+            gap = c == 32
+            letters |= not gap.all()
+            again = gap.copy()
+            again[1:] &= gap[:-1]
+            again[:1] &= held[-1] == 32
+            c = c[~again]
+            if at + PIECE > len(points) and (c[-1] if len(c) else held[-1]) != 32:  # the end counts as a gap
+                c = np.append(c, np.uint64(32))
+            known, held = len(held), np.concatenate((held, c))
+            self._add(counts, held, known if at else 0)
+            held = held[-2:]
+        return counts if letters else None
+
+    @staticmethod
+    def _add(counts: np.ndarray, c: np.ndarray, known: int) -> None:
+        """Add the grams that end at or after position ``known``."""
         k1, k2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         two = (c[:-1] * k1) ^ (c[1:] * k2)
         three = (two[:-1] * k1) ^ (c[2:] * k2)
-        each = np.concatenate((c * k2, two * k2, three * k1))
-        return np.bincount((each >> np.uint64(64 - 13)).astype(np.int64), minlength=BUCKETS)
+        for n, each in ((1, c * k2), (2, two * k2), (3, three * k1)):
+            counts += np.bincount((each[max(0, known - n + 1) :] >> np.uint64(64 - 13)).astype(np.int64), minlength=BUCKETS)
 
 
 @dataclass
@@ -57,19 +75,37 @@ class Centroids:
     idf: np.ndarray
     center: np.ndarray
     lang: list[str]
-    least: np.ndarray  # cosine below which a text is rejected, per centroid
-    short: float  # letters at which a text counts as long enough to be rejected by distance
+    least: np.ndarray  # cosine below which a text is rejected, by the power of two of its grams
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = (np.log1p(counts) * self.idf).astype(np.float32)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = np.log1p(counts.astype(np.float32))
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return x
 
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(best centroid, cosine, whether it is too far) of rows of counts."""
+        cosine = self.vectors(counts) @ self.center.T
+        best = cosine.argmax(1)
+        top = cosine[np.arange(len(best)), best]
+        return best, np.clip(top, 0, 1).astype(float), top < self.least[bands(counts)]
 
-def fit(lang: list[str], counts: np.ndarray, per_language: int, seed: int, reject: float, slack: float) -> Centroids:
-    """Spherical k-means inside each language; a centroid's limit is a low quantile of its own members."""
+
+def bands(counts: np.ndarray) -> np.ndarray:
+    """The power of two below the number of grams of each row."""
+    return np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(int), BANDS - 1)
+
+
+def nothing() -> Centroids:
+    return Centroids(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(BANDS))
+
+
+def fit(lang: list[str], counts: np.ndarray, pieces: np.ndarray, per_language: int, seed: int, reject: float, slack: float) -> Centroids:
+    """Spherical k-means inside each language; limits are low quantiles, by length, of the cosines of texts and of their pieces."""
     df = (counts > 0).sum(0)
-    idf = np.log((1 + len(counts)) / (1 + df)) + 1
-    model = Centroids(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0), 200.0)
+    idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
+    model = nothing()
+    model.idf = idf
     x = model.vectors(counts)
     names, rng = np.array(lang), np.random.default_rng(seed)
     centers, owners = [], []
@@ -84,35 +120,43 @@ def fit(lang: list[str], counts: np.ndarray, per_language: int, seed: int, rejec
         centers.append(c)
         owners += [name] * k
     model.center, model.lang = np.concatenate(centers).astype(np.float32), owners
-    cosine = x @ model.center.T
-    best = cosine.argmax(1)
-    floor = float(np.quantile(cosine.max(1), reject)) * slack
-    model.least = np.array(
-        [
-            min(floor, float(np.quantile(cosine[best == j, j], reject)) * slack) if (best == j).any() else floor
-            for j in range(len(owners))
-        ]
-    )
+    top, band = [], []
+    for rows in (counts, *np.array_split(pieces, max(1, len(pieces) // 512))):
+        if len(rows):
+            top.append((model.vectors(rows) @ model.center.T).max(1))
+            band.append(bands(rows))
+    top, band = np.concatenate(top), np.concatenate(band)
+    for k in range(BANDS):  # longer texts come closer to a centroid: a limit holds until a later one is measured
+        own = top[band == k]
+        here = float(np.quantile(own, reject)) * slack if len(own) >= 1 / reject / 4 else 0.0
+        model.least[k] = max(here, model.least[k - 1] if k else 0.0)
     return model
 
 
 def _featurise(batches: Iterator) -> Iterator:
-    """(lang, buckets, counts) of the sampled texts."""
+    """(lang, buckets, counts, piece) of the sampled texts, and of one piece of each length of every text that is longer."""
+    import hashlib
+
     import pyarrow as pa
 
     grams = Grams()
     for batch in batches:
-        lang, where, times = [], [], []
+        lang, where, times, piece = [], [], [], []
         for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts = grams(text)
-            if counts is not None:
-                at = np.flatnonzero(counts)
-                lang.append(name)
-                where.append(at.astype(np.int16))
-                times.append(counts[at].astype(np.int32))
+            text = text or ""
+            draw = int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:7], "big")
+            cuts = [text[(at := draw % (len(text) - n)) : at + n] for n in PIECES if len(text) > n]
+            for i, part in enumerate([text, *cuts]):
+                counts = grams(part)
+                if counts is not None:
+                    at = np.flatnonzero(counts)
+                    lang.append(name)
+                    where.append(at.astype(np.int16))
+                    times.append(counts[at].astype(np.int32))
+                    piece.append(i > 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(where, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.int32()))],
-            names=["lang", "at", "n"],
+            [pa.array(lang, pa.string()), pa.array(where, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.int32())), pa.array(piece, pa.bool_())],
+            names=["lang", "at", "n", "piece"],
         )
 
 
@@ -122,23 +166,17 @@ def _predictor(model: Centroids):
 
         grams, owner = Grams(), np.array(model.lang)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in steps(whole, "text", 1 << 20, 64):
                 counts = [grams(t) for t in batch.column("text").to_pylist()]
                 some = [i for i, c in enumerate(counts) if c is not None]
                 lang, score, rejected = [UNKNOWN] * len(counts), [0.0] * len(counts), [True] * len(counts)
                 if some and len(owner):
-                    full = np.stack([counts[i] for i in some])
-                    cosine = model.vectors(full) @ model.center.T
-                    best = cosine.argmax(1)
-                    top = np.clip(cosine[np.arange(len(some)), best], 0, 1).astype(float)
-                    far = (top < model.least[best]) & (full.sum(1) > 3 * model.short)
-                    for i, b, s, r in zip(some, best, top, far, strict=True):
+                    for i, b, s, r in zip(some, *model.nearest(np.stack([counts[i] for i in some])), strict=True):
                         lang[i], score[i], rejected[i] = str(owner[b]), float(s), bool(r)
                 keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
                 names = [n for n in batch.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*keep, pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected)],
+                    [*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*names, "lang_pred", "score", "rejected"],
                 )
 
@@ -159,27 +197,35 @@ def train(
     """Fit on about ``texts_per_language`` texts of each language, drawn by a hash of the id.
 
     That bound is the only sampling: features are counted on executors over whole texts, and at most
-    ``BUCKETS`` counts a sampled text reach the driver. Rows whose crc32(id as text) mod 4 is 2 are held out.
+    ``BUCKETS`` counts a sampled text (and one piece of it by each of ``PIECES``) reach the driver. Rows whose
+    crc32(id as text) mod 4 is 2 are held out. A text is called far if its cosine is below ``slack`` times the
+    ``reject`` quantile of training texts and pieces of about its length; lengths with too few of them to have
+    that quantile take the limit of the next shorter length.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang")
     ).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Centroids(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0), 0.0)
+        return nothing()
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, texts_per_language / n)).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    table = drawn.mapInArrow(_featurise, "lang string, at array<short>, n array<int>").toPandas()
-    if not len(table):
-        return Centroids(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0), 0.0)
-    table["_k"] = [(str(list(a)), str(list(n))) for a, n in zip(table["at"], table["n"], strict=True)]
+    table = drawn.mapInArrow(_featurise, "lang string, at array<short>, n array<int>, piece boolean").toPandas()
+    if table["piece"].all():
+        return nothing()
+    table["_k"] = [(len(a), tuple(a), tuple(n)) for a, n in zip(table["at"], table["n"], strict=True)]
     table = table.sort_values(["lang", "_k"])  # whatever order the tasks ended in
-    counts = np.zeros((len(table), BUCKETS), np.float32)
-    for i, (at, n) in enumerate(zip(table["at"], table["n"], strict=True)):
-        counts[i, at] = n
-    return fit(list(table["lang"]), counts, centroids, seed, reject, slack)
+
+    def dense(rows) -> np.ndarray:
+        counts = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+            counts[i, at] = n
+        return counts
+
+    whole = table[~table["piece"]]
+    return fit(list(whole["lang"]), dense(whole), dense(table[table["piece"]]), centroids, seed, reject, slack)
 
 
 def held_out(c):
@@ -190,9 +236,10 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
     """(id, *keep, lang_pred, score, rejected) of every row.
 
     ``score`` is the cosine of the text's TF-IDF vector with its nearest centroid. A text that is null or
-    has no letter is 'und', with score 0, and rejected. Other texts get the nearest centroid's language; they
-    are rejected when they are farther from it than nearly all the texts it was fitted on (with slack), unless
-    they are too short to tell. A model fitted on no text calls everything 'und'.
+    has no letter is 'und', with score 0, and rejected. Other texts, of any length, get the nearest centroid's
+    language; they are rejected when they are farther from it than nearly all training texts of about their
+    length (with slack). A model fitted on no text calls everything 'und'. Repeated rows each get a row, equal
+    cosines go to the first language by name, and columns of ``docs`` other than the id and ``keep`` play no part.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), *(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("text")
@@ -203,7 +250,7 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    """The rows of ``docs`` whose text is not rejected, with all their columns, whatever their names; ids may be null or repeat."""
     model = train(docs, id_col, text_col, lang_col)
 
     def keep(batches: Iterator) -> Iterator:
