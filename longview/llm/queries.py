@@ -62,7 +62,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), TARGETS, budget=BUDGET)
-    return found.select("doc_id", "n_tokens", F.round(F.col("posteriors")[1], 6).alias("p_high"), "rate", "copies")
+    return found.select("doc_id", "n_tokens", F.round(F.col("posteriors")[1], 6).alias("p_high"), "rate", "copies", F.round("off_target", 6).alias("off_target"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
