@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longview.llm.common import Scratch, components, cut, runs, ship
+from longview.llm.common import Scratch, components, cut, runs, ship, steps, unused
 from longview.llm.words import Words, shingle_sets
 
 ship(__name__)
@@ -27,11 +27,10 @@ CHUNK = 256
 TILE = 4096
 
 
-def _small(batches: Iterator, rows: int = 512) -> Iterator:
+def _small(batches: Iterator) -> Iterator:
     """The same rows in batches that keep a worker's memory low."""
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+        yield from steps(whole, "text", 1 << 21)
 
 
 def _repeats(width: int):
@@ -41,27 +40,27 @@ def _repeats(width: int):
         import pyarrow as pa
 
         words, held, size = Words(), [], 0
-        kept: dict[int, int] = {}
+        kept = np.zeros(1 << ORDER_BITS, np.int32)
 
         def settle():
             values, times = np.unique(np.concatenate(held), return_counts=True)
             more = times > 1
-            for v, t in zip((values[more] >> np.uint64(64 - ORDER_BITS)).tolist(), times[more].tolist(), strict=True):
-                kept[v] = max(kept.get(v, 0), t)
+            np.maximum.at(kept, (values[more] >> np.uint64(64 - ORDER_BITS)).astype(np.int64), times[more].astype(np.int32))
             held.clear()
 
         for batch in batches:
             for own in shingle_sets(batch.column("text"), width, words):
                 held.append(own)
                 size += len(own)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     settle()
                     size = 0
         if held:
             settle()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(kept), pa.int32()), pa.array(list(kept.values()), pa.int64())], names=["slot", "times"]
-        )
+        slots = np.flatnonzero(kept)
+        for at in range(0, len(slots), 1 << 16):
+            some = slots[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(kept[some], pa.int64())], names=["slot", "times"])
 
     return read
 
@@ -392,6 +391,7 @@ def jaccard_groups(
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; rows without id stay."""
     groups = jaccard_groups(docs, id_col, text_col, width, percent, count_links=False)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_k")).distinct()
-    keyed = docs.withColumn("_k", F.col(f"`{id_col}`").cast("long"))
-    return keyed.join(gone, "_k", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    (k,) = unused(docs, "k")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(k)).distinct()
+    keyed = docs.withColumn(k, F.col(f"`{id_col}`").cast("long"))
+    return keyed.join(gone, k, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
