@@ -38,6 +38,15 @@ def test_exact_duplicates(docs, bits):
     assert sorted(r["doc_id"] or 0 for r in without_duplicates(docs).collect()) == [0, 1, 2, 5, 6, 6, 8]
 
 
+def test_exact_duplicates_of_a_large_class(spark):
+    rows = [(i, "one text for all", i, "x") for i in range(1500)] + [(5000 + i, f"text {i % 40}", i, "y") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, k int, h string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(table).collect()}
+    assert got == {i: (0, 1500, i == 0) for i in range(1500)} | {5000 + i: (5000 + i % 40, 5, i < 40) for i in range(200)}
+    kept = without_duplicates(table)
+    assert kept.columns == table.columns and kept.count() == 41
+
+
 def test_jaccard_groups(spark, docs):
     rng = random.Random(1)
     rows = []
@@ -160,6 +169,36 @@ def test_bpe_matches_the_library(spark, docs):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_bpe_cuts_texts_without_blanks(spark, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    encoder, whole, rng = bpe.Encoder(path), Tokenizer.from_file(path), random.Random(5)
+    assert len(encoder.split(np.frombuffer("日本語の魔龍x=1;y[2]".encode(), np.uint8))) > 8
+
+    def encoded(texts):
+        ids, ends = encoder(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    alphabet = [*"abcXYZ019 .,;:!?'\"-_/\\|<>&%$#@()[]{}=\t\n\r\x0b\x0c\x1c\x1f\x00\x85\u00a0\u2003\u3000\u200b日本語の魔龍éüñß🙂٣“”。", "'s", "'re", "<|endoftext|>", "  ", "don't", "x86"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(2000)] + ["日本語の魔龍" * 60_000, "x=1;y[2]{'a'}" * 30_000]
+    assert encoded(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "STEP", 500)  # long texts go in parts
+    monkeypatch.setattr(bpe, "REMEMBERED", 10_000)
+    texts = ["".join(rng.choices(alphabet, k=9000)) for _ in range(5)] + ["", "x" * 9000, None, "a b" * 3000]
+    assert encoded(texts) == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_decodes_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(bpe.default_path())
+    rows = [(1, [220, 50256, 13]), (2, whole.encode("é 日本🙂").ids[:-1]), (3, []), (4, None), (5, [447, 447, 247])]
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {i: None if x is None else whole.decode(x, skip_special_tokens=False) for i, x in rows}
+
+
 def test_personal_data(spark):
     seeds = [(i, f"text. Account number: 41111111111{11110 + i} ok mail u{i}@ex.org") for i in range(40)]
     luhn = [(100 + i, "Account number: " + c) for i, c in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "4222222222222220", "5105105105105100", "4000056655665556"])]
@@ -192,7 +231,28 @@ def test_mixing(spark):
     out = mixing.mix(table, labels, {"1": 0.8, "0": 0.2}).collect()
     total = sum(r["n_tokens"] for r in out)
     assert sum(r["rate"] * r["n_tokens"] * r["posteriors"][1] for r in out) / total == pytest.approx(0.8, abs=0.01)
-    assert min(r["rate"] for r in out) >= 0 and len(out) == 601
+    assert min(r["rate"] for r in out) >= 0 and len(out) == 601 and out[0]["off_target"] < 0.01
+    far = mixing.mix(table, labels, {"1": 0.01, "0": 0.99}, most=1.5).first()
+    assert far["off_target"] > 0.1  # out of reach, and said so
+
+
+def test_mixing_repeats_rows_and_ignores_labels_at_odds(spark, empty):
+    rows = [(i, f"plain words in a line {i} " * 5, i, "c") for i in range(60)] + [(None, "some words", 1, "c"), (7, "plain words in a line 7 " * 5, 7, "c"), (90, None, 0, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, copies int, `_k` string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, 9)], "doc_id long, quality int")
+    out = mixing.mix(table, labels, {"1": 0.5, "0": 0.5}).collect()
+    assert {tuple(r["posteriors"]) for r in out} == {(0.5, 0.5)}  # nothing usable was learned
+    copies = {r["doc_id"]: r["copies"] for r in out}
+    mixed = mixing.mixed(table, labels, {"1": 0.5, "0": 0.5})
+    assert mixed.columns == table.columns
+    count = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert count == {i: n * (2 if i == 7 else 1) for i, n in copies.items() if n}
+    assert mixing.mix(empty, labels, {"1": 0.5, "0": 0.5}).count() == 0
+
+
+def test_mixing_learns_its_marks(spark):
+    rows = [(i, "plain words and so on " * 4, "1") for i in range(50)] + [(100 + i, "plain ¤ words ¤ and so on " * 4, "0") for i in range(50)]
+    assert "¤" in mixing.learned_marks(spark.createDataFrame(rows, "id long, text string, domain string"), 1000)
 
 
 def test_language(spark, docs, empty):
@@ -204,6 +264,21 @@ def test_language(spark, docs, empty):
     assert all(got[i] == k for i, _, k in rows[:200]) and got[900] == got[901] == "und"
     assert language.accepted(table).count() == 200
     assert language.identify(empty, language.train(empty)).count() == 0
+    odd = [(1, "zxqk vxqz " * 2), (2, "zxqk vxqz " * 200), (3, "zxqk " * 60_000 + "the house"), (4, "the and house " * 100_000), (4, "the and house"), (None, "und der Fluss")]
+    far = language.identify(spark.createDataFrame(odd, "doc_id long, text string"), language.train(table)).collect()
+    assert [(r["doc_id"], r["rejected"]) for r in far] == [(1, True), (2, True), (3, True), (4, False), (4, False), (None, False)]
+
+
+def test_grams_of_pieces(monkeypatch):
+    rng, grams = random.Random(1), language.Grams()
+    for _ in range(100):
+        text = "".join(rng.choices("abé日  .", k=rng.randrange(40)))
+        whole = grams(text)
+        for piece in (1, 2, 3, 7):
+            with monkeypatch.context() as m:
+                m.setattr(language, "PIECE", piece)
+                part = grams(text)
+            assert (whole is None and part is None) or (whole == part).all()
 
 
 def test_toxicity(spark):
