@@ -105,6 +105,22 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, rows: int) -> DataFrame:
+    """``many`` joined with ``one`` (one row per key), where a key may hold any share of the rows of ``many``.
+
+    ``counts`` has (keys, n) of ``many``, and ``rows`` their sum. Keys with many rows are dealt out in salted parts of
+    about 256, their row of ``one`` once for each. At most 100,000 keys can hold more than rows / 100,000 rows, so the
+    list of them is small by proof and is broadcast.
+    """
+    salt, parts = unused(many, "salt", "parts")
+    large = counts.where(F.col("n") > max(256, rows // 100_000)).select(*keys, F.ceil(F.col("n") / 256).cast("int").alias(parts))
+    own = many.join(F.broadcast(large), keys, "left")
+    own = own.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*(F.col(c) for c in many.columns)), parts).cast("int"), F.lit(0))).drop(parts)
+    each = one.join(F.broadcast(large), keys, "left")
+    each = each.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts) - 1, F.lit(0))))).drop(parts)
+    return own.join(each, [*keys, salt]).drop(salt)
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longview.llm.common import Scratch, cut, ship, steps, unused
+from longview.llm.common import Scratch, cut, ship, spread_join, steps, unused
 
 ship(__name__)
 
@@ -20,8 +20,6 @@ NO_ID = -(2**63)
 REMEMBERED = 1 << 23
 #: Bytes of text in one outgoing batch, about.
 STEP = 1 << 21
-#: At most so many classes are dealt out by salt; which ones follows from the number of rows.
-MOST_LARGE = 100_000
 
 
 def _reader(block_bytes: int, hash_bits: int, want: str):
@@ -135,15 +133,9 @@ def exact_duplicates(
             F.max(F.struct("points", F.bitwise_not(F.coalesce("id", F.lit(2**63 - 1))).alias("last"))).alias("best"),
         )
         kept_id = F.bitwise_not(F.col("best.last"))
-        best, n = scratch.table(best), members.count()
-        # no more than MOST_LARGE classes can be this large, so that the list of them is small by proof
-        large = best.where(F.col("group_size") > max(256, n // MOST_LARGE))
-        parts = F.ceil(F.col("group_size") / 256).cast("int")
-        own = members.join(F.broadcast(large.select("depth", "name", parts.alias("parts"))), ["depth", "name"], "left")
-        own = own.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k1"), "parts").cast("int"), F.lit(0)))
-        salted = best.join(F.broadcast(large.select("depth", "name", parts.alias("parts"))), ["depth", "name"], "left")
-        salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-        out = own.join(salted.drop("parts"), ["depth", "name", "salt"]).select(
+        best = scratch.table(best)
+        joined = spread_join(members, best, ["depth", "name"], best.withColumnRenamed("group_size", "n"), members.count())
+        out = joined.select(
             F.col("id").alias("doc_id"),
             F.when(kept_id != 2**63 - 1, kept_id).alias("keep_id"),
             "group_size",
