@@ -21,7 +21,10 @@ def tables_for(threshold: float, bits: int, recall: float) -> int:
 
 
 def _encoder(bits: int, tables: int, seed: int):
-    """Vectors to (row id, dimension, content key, sign codes, unit vector in double precision)."""
+    """Vectors to (row id, dimension, content key, sign codes, the vector).
+
+    The vector goes on as four bytes a component where that loses nothing, else eight; equal directions share a key.
+    """
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -29,54 +32,50 @@ def _encoder(bits: int, tables: int, seed: int):
 
         planes: dict[int, np.ndarray] = {}
         powers = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            ids, by_dim = batch.column("id").to_pylist(), {}
-            column = batch.column("vec")
-            lengths = np.diff(column.offsets.to_numpy())
-            values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            base, starts = column.offsets[0].as_py(), column.offsets.to_numpy()[:-1]
-            valid = ~np.asarray(column.is_null())
-            for i in np.flatnonzero(valid & (lengths > 0)):
-                by_dim.setdefault(int(lengths[i]), []).append(i)
-            out = {k: [] for k in ("id", "dim", "k1", "k2", "codes", "unit")}
-            for dim, rows in by_dim.items():
-                x = np.stack([values[starts[i] : starts[i] + dim] for i in rows])
-                top = np.abs(x).max(1)
-                good = np.isfinite(top) & (top > 0) & np.isfinite(x).all(1)
-                x, rows = x[good], [r for r, g in zip(rows, good, strict=True) if g]
-                if not len(rows):
-                    continue
-                x = x / top[good][:, None]
-                unit = x / np.sqrt((x * x).sum(1))[:, None] + 0.0
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
-                signs = (unit @ planes[dim] >= 0).reshape(len(rows), tables, bits)
-                codes = (signs * powers).sum(2).astype(np.int64)
-                for i, u, c in zip(rows, unit, codes, strict=True):
-                    raw = u.tobytes()
-                    out["id"].append(ids[i])
-                    out["dim"].append(dim)
-                    digest = xxhash.xxh3_128_digest(raw)
-                    out["k1"].append(int.from_bytes(digest[:8], "big", signed=True))
-                    out["k2"].append(int.from_bytes(digest[8:], "big", signed=True))
-                    out["codes"].append(c)
-                    out["unit"].append(raw)
-            del base
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["id"], pa.int64()),
-                    pa.array(out["dim"], pa.int32()),
-                    pa.array(out["k1"], pa.int64()),
-                    pa.array(out["k2"], pa.int64()),
-                    pa.array([c.tolist() for c in out["codes"]], pa.list_(pa.int64())),
-                    pa.array(out["unit"], pa.binary()),
-                ],
-                names=list(out),
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                ids, by_dim = batch.column("id").to_pylist(), {}
+                vectors = batch.column("vec").to_numpy(zero_copy_only=False)
+                for i, v in enumerate(vectors):
+                    by_dim.setdefault(len(v), []).append(i)
+                out = {k: [] for k in ("id", "dim", "k1", "k2", "codes", "packed", "vec")}
+                for dim, rows in by_dim.items():
+                    x = np.stack([np.asarray(vectors[i], np.float64) for i in rows]) + 0.0
+                    top = np.abs(x).max(1)
+                    good = np.isfinite(top) & (top > 0)
+                    x, rows = x[good], [r for r, g in zip(rows, good, strict=True) if g]
+                    if not len(rows):
+                        continue
+                    unit = _units(x)
+                    if dim not in planes:
+                        planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+                    signs = (unit @ planes[dim] >= 0).reshape(len(rows), tables, bits)
+                    codes = (signs * powers).sum(2).astype(np.int32)
+                    with np.errstate(over="ignore"):
+                        short = x.astype(np.float32)
+                    same = (short == x).all(1)
+                    for i, u, c, v, w, brief in zip(rows, unit, codes, x, short, same, strict=True):
+                        digest = xxhash.xxh3_128_digest(u.tobytes())
+                        out["id"].append(ids[i])
+                        out["dim"].append(dim)
+                        out["k1"].append(int.from_bytes(digest[:8], "big", signed=True))
+                        out["k2"].append(int.from_bytes(digest[8:], "big", signed=True))
+                        out["codes"].append(c)
+                        out["packed"].append((c.astype(np.int16) if bits < 16 else c).tobytes())
+                        out["vec"].append((w if brief else v).tobytes())
+                types = {"id": pa.int64(), "dim": pa.int32(), "k1": pa.int64(), "k2": pa.int64(), "codes": pa.list_(pa.int32()), "packed": pa.binary(), "vec": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], names=list(types))
 
     return encode
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one in double precision, the same whatever rows are beside them."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None] + 0.0
+
+
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index in reach of each of n nodes through links a-b."""
     root = np.arange(n)
@@ -90,13 +89,13 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _linker(threshold: float):
+def _linker(threshold: float, bits: int):
     """Exact cosine inside each bucket block; a pair counts in the first table where its codes agree."""
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, counts, roots = [], [], []
+        ids, counts, roots, kind = [], [], [], np.int16 if bits < 16 else np.int32
 
         def flush():
             batch = pa.RecordBatch.from_arrays(
@@ -104,37 +103,38 @@ def _linker(threshold: float):
                     pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
                     for x in (ids, counts, roots)
                 ],
-                names=["id", "links", "root"],
+                names=["node", "links", "root"],
             )
             for x in (ids, counts, roots):
                 x.clear()
             return batch
 
         for run in runs(batches, ("dim", "tbl", "code", "ci", "cj")):
-            n = len(run["id"])
+            n = len(run["node"])
             if n < 2:
                 continue
-            order = np.argsort(run["id"], kind="stable")
-            one, weight, chunk = run["id"][order], run["weight"][order], run["chunk"][order]
-            units = np.frombuffer(b"".join(run["unit"][order]), np.float64).reshape(n, -1)
-            codes = np.stack([np.asarray(c) for c in run["codes"][order]])
+            order = np.argsort(run["node"], kind="stable")
+            one, weight, chunk = run["node"][order], run["weight"][order], run["chunk"][order]
+            dim = int(run["dim"][0])
+            units = _units(np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in run["vec"][order]]))
+            codes = np.stack([np.frombuffer(c, kind) for c in run["packed"][order]])
             table, split = int(run["tbl"][0]), run["ci"][0] != run["cj"][0]
             linked_a, linked_b, count = [], [], np.zeros(n, np.int64)
             for i in range(0, n - 1, 256):
-                close = units[i : i + 256] @ units.T >= threshold
-                a, b = np.nonzero(close)
+                a, b = np.nonzero(units[i : i + 256] @ units.T >= threshold)
                 a = a + i
                 fit = (b > a) & (chunk[a] != chunk[b] if split else True)
                 a, b = a[fit], b[fit]
                 if not len(a):
                     continue
-                linked_a.append(a)
-                linked_b.append(b)
+                # a pair counts in the first table where its codes agree; a local tree of links is handed on
                 for lo in range(0, len(a), 1 << 16):
                     p, q = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
                     first = (codes[p, :table] != codes[q, :table]).all(1)
-                    np.add.at(count, p[first], weight[q[first]])
-                    np.add.at(count, q[first], weight[p[first]])
+                    count += np.bincount(p[first], weight[q[first]], n).astype(np.int64)
+                    count += np.bincount(q[first], weight[p[first]], n).astype(np.int64)
+                linked_a.append(a)
+                linked_b.append(b)
             if linked_a:
                 a, b = np.concatenate(linked_a), np.concatenate(linked_b)
                 root = _local_roots(n, a, b)
@@ -155,6 +155,7 @@ def near_duplicates(
     vec_col: str = "embedding",
     threshold: float = 0.9,
     recall: float = 0.9995,
+    bucket: int = 768,
     block: int = 2048,
     seed: int = 7,
 ) -> DataFrame:
@@ -162,84 +163,71 @@ def near_duplicates(
 
     Returns (vec_id, n_links, component_id, kept, n_copies), one row per input row. Random hyperplanes give
     each vector a sign code in each of several tables; the number of bits follows the number of vectors, so
-    that buckets stay small, and the number of tables follows from ``recall``, the chance to meet a pair
-    that lies exactly at the threshold (closer pairs meet more surely). Vectors of one bucket are compared
-    by cosine in double precision, so no reported link is below the threshold. Exact copies (same
+    that buckets of even data hold about ``bucket``, and the number of tables follows from ``recall``, the chance to
+    meet a pair that lies exactly at the threshold (closer pairs meet more surely). Vectors of one bucket are
+    compared by cosine in double precision, so no reported link is below the threshold. Exact copies (same
     direction and same bytes once normalised) are compared once and counted by weight. A bucket above
     ``block`` vectors is compared as pairs of blocks in separate tasks; nothing is dropped.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: n_links 0,
     component_id their own id. Vectors of different lengths never link. A repeated row counts as another
-    vector; rows without id form no links and keep a null component. An empty table gives no rows.
+    vector, and so does another vector with the same id: each row has its own links, and ids are smallest ids of
+    the linked rows. Rows without id form no links and keep a null component. An empty table gives no rows, and
+    columns other than the two play no part.
     """
     spark = vectors.sparkSession
-    rows = only(vectors, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), "vec")
-    everything = rows.select("id")
-    good = rows.where(
-        "id is not null and vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x))"
-    ).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    rows = only(vectors, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    usable = F.coalesce(
+        F.expr("id is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(vec, x -> x <> 0)"),
+        F.lit(False),
+    )
+    good, rest = rows.where(usable), rows.where(~usable)
     n = max(1, good.select("id").count())
-    bits = min(30, max(6, math.ceil(math.log2(n / 48)) if n > 48 else 6))
+    bits = min(30, max(4, math.ceil(math.log2(n / bucket)) if n > bucket else 4))
     tables = tables_for(threshold, bits, recall)
+    key = ["dim", "k1", "k2"]
 
     with Scratch(spark) as scratch:
         encoded = scratch.table(
-            good.mapInArrow(
-                _encoder(bits, tables, seed),
-                "id long, dim int, k1 long, k2 long, codes array<long>, unit binary",
-            )
-        )
-        classes = scratch.table(
-            encoded.groupBy("dim", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+            good.mapInArrow(_encoder(bits, tables, seed), "id long, dim int, k1 long, k2 long, codes array<int>, packed binary, vec binary")
         )
-        # One row per class of copies; a repeated id is told apart by its content key.
-        reps = scratch.table(
-            encoded.join(
-                classes.select("dim", "k1", "k2", F.col("rep").alias("id"), "weight"), ["dim", "k1", "k2", "id"]
-            ).dropDuplicates(["dim", "k1", "k2"])
+        # one node per class of copies, numbered where it is written
+        classes = encoded.groupBy(*key).agg(
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min(F.struct("codes", "packed", "vec")).alias("one")
         )
-        slots = reps.select("id", "k1", "dim", F.posexplode("codes").alias("tbl", "code"))
-        sizes = slots.groupBy("dim", "tbl", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        # chunk pairs (ci <= cj): the only one for a bucket that fits a block
-        chunks = F.ceil(F.col("n") / block).cast("int")
-        placed = (
-            slots.join(sizes, ["dim", "tbl", "code"])
-            .withColumn("chunks", chunks)
-            .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("chunks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select(
-                "id", "k1", "dim", "tbl", "code", "chunk",
-                F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
-            )
+        nodes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()))
+        slots = nodes.select("node", "dim", "weight", F.col("one.vec").alias("vec"), F.col("one.packed").alias("packed"), F.posexplode("one.codes").alias("tbl", "code"))
+        by = ["dim", "tbl", "code"]
+        large = scratch.table(
+            nodes.select("dim", F.posexplode("one.codes").alias("tbl", "code"))
+            .groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+            .select(*by, F.ceil(F.col("m") / block).cast("int").alias("chunks"))
         )
-        blocks = placed.join(reps.select("id", "k1", "dim", "weight", "codes", "unit"), ["id", "k1", "dim"])
-        found = scratch.table(
-            blocks.repartition("dim", "tbl", "code", "ci", "cj")
-            .sortWithinPartitions("dim", "tbl", "code", "ci", "cj")
-            .select("id", "dim", "tbl", "code", "ci", "cj", "chunk", "weight", "codes", "unit")
-            .mapInArrow(_linker(threshold), "id long, links long, root long")
+        few = large.count() <= 100_000  # so many rows of four numbers are a few MB; beyond, the join is a shuffle
+        dealt = (
+            slots.join(F.broadcast(large) if few else large, by, "left")
+            .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+            .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("chunks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("node", *by, F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "weight", "packed", "vec")
         )
-        links = found.groupBy("id").agg(F.sum("links").alias("links"))
-        reach = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-        per_class = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(
-            reach.withColumnRenamed("node", "rep"), "rep", "left"
+        by = [*by, "ci", "cj"]
+        found = scratch.table(
+            dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_linker(threshold, bits), "node long, links long, root long")
         )
-        joined = (
-            encoded.select("id", "dim", "k1", "k2")
-            .join(per_class, ["dim", "k1", "k2"])
-            .groupBy("id")
-            .agg(
-                F.max(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                F.min(F.coalesce("component", "rep")).alias("component_id"),
-                F.max("weight").alias("n_copies"),
-            )
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        reach = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        placed = nodes.select(*key, "node", "rep", "weight").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+        per_class = placed.join(links, "node", "left").join(least, "component").select(
+            *key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.col("weight").alias("n_copies")
         )
+        linked = encoded.select("id", *key).join(per_class, key).select("id", "n_links", "component_id", "n_copies")
+        alone = rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
         return cut(
-            everything.join(joined, "id", "left").select(
-                F.col("id").alias("vec_id"),
-                F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                F.coalesce("component_id", "id").alias("component_id"),
-                F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-                F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+            linked.union(alone).select(
+                F.col("id").alias("vec_id"), "n_links", "component_id",
+                F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies",
             )
-        )
+        )
+
