@@ -21,7 +21,7 @@ BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Tokens in one training sequence.
 SEQUENCE = 128
 #: Training sequences whose forward and backward passes are in memory at a time.
-CHUNK = 1024
+CHUNK = 2048
 MOST_EVIDENCE = 6.0
 
 
@@ -43,17 +43,19 @@ class Features:
         self.words = Words(SEPARATORS)
 
     def tokens(self, data: np.ndarray, bounds: np.ndarray):
+        """(start of each token, its end, first token of each text, hashes: of the tokens, then of their beginnings)."""
         starts, ends, total = self.words.spans(data, bounds)
-        first = np.searchsorted(starts, bounds)
-        parts = [self.words.part(total, starts, ends, 1)]
+        return starts, ends, np.searchsorted(starts, bounds), self._parts(starts, ends, total)
+
+    def _parts(self, starts: np.ndarray, ends: np.ndarray, total: np.ndarray) -> Iterator[np.ndarray]:
+        yield self.words.part(total, starts, ends, 1)
         for n in BEGINNINGS:
-            parts.append(np.where(ends - starts > n, self.words.part(total, starts, np.minimum(starts + n, ends), n + 1), np.uint64(0)))
-        return starts, ends, first, parts
+            yield np.where(ends - starts > n, self.words.part(total, starts, np.minimum(starts + n, ends), n + 1), np.uint64(0))
 
 
-def _evidence(parts: list[np.ndarray], tagger: Tagger, quick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(parts: Iterator[np.ndarray], tagger: Tagger, quick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log odds of the whole token, greatest log odds of its beginnings); 0 where nothing is a cue."""
-    out = []
+    word = begin = None
     for part in parts:
         e = np.zeros(len(part), np.float32)
         at = np.flatnonzero(quick[part >> np.uint64(44)])
@@ -61,8 +63,11 @@ def _evidence(parts: list[np.ndarray], tagger: Tagger, quick: np.ndarray) -> tup
             k = np.minimum(np.searchsorted(tagger.cues, part[at]), len(tagger.cues) - 1)
             hit = tagger.cues[k] == part[at]
             e[at[hit]] = tagger.weight[k[hit]]
-        out.append(e)
-    return out[0], np.maximum.reduce(out[1:])
+        if word is None:
+            word, begin = e, np.zeros(len(e), np.float32)
+        else:
+            np.maximum(begin, e, out=begin)
+    return word, begin
 
 
 def _quick(tagger: Tagger) -> np.ndarray:
@@ -132,70 +137,74 @@ def marginals(score: np.ndarray, fresh: np.ndarray, moves: np.ndarray) -> np.nda
     return p[:, 1] / p.sum(1)
 
 
-def _padded(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequences, tokens, features), labels and the mask of what is no padding."""
+def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sequences, tokens, features) and the mask of what is no padding."""
     shape = len(xs), max(map(len, xs))
-    grid, label, valid = np.zeros((*shape, xs[0].shape[1])), np.zeros(shape), np.zeros(shape)
-    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-        grid[i, : len(x)], label[i, : len(x)], valid[i, : len(x)] = x, y, 1
-    return grid, label, valid
-
-
-def _seen(x: np.ndarray, y: np.ndarray, mask: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """What the labels add up to: features of marked tokens, marked starts, and moves up, down and on."""
-    w, pair = times[:, None], mask[:, 1:] * times[:, None]
-    moves = [((1 - y[:, :-1]) * y[:, 1:] * pair).sum(), (y[:, :-1] * (1 - y[:, 1:]) * pair).sum(), (y[:, :-1] * y[:, 1:] * pair).sum()]
-    return np.concatenate([np.einsum("nsf,ns->f", x, y * mask * w), [(y[:, 0] * mask[:, 0] * times).sum()], moves])
+    grid, valid = np.zeros((*shape, xs[0].shape[1]), np.float32), np.zeros(shape)
+    for i, x in enumerate(xs):
+        grid[i, : len(x)], valid[i, : len(x)] = x, 1
+    return grid, valid
 
 
-def _expected(x: np.ndarray, mask: np.ndarray, times: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """The same sums, as the chain with weights ``theta`` expects them."""
+def expected(x: np.ndarray, mask: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chain: what it expects under weights ``theta`` (features of marked tokens, marked starts, moves up,
+    down and on), and the log of its total weight. The chain without a marked token weighs one."""
     n, steps, width = x.shape
     on = np.exp(np.clip(x @ theta[:width], -40, 40)) * mask
     begin, up, down, stay = np.exp(theta[width:])
-    a = np.empty((n, steps, 2))
+    down = np.where(mask > 0, down, 1.0)  # padding goes back to unmarked at no cost
+    a, log_total = np.empty((n, steps, 2)), np.zeros(n)
     a[:, 0, 0], a[:, 0, 1] = 1, begin * on[:, 0]
-    a[:, 0] /= a[:, 0].sum(1, keepdims=True)
-    for t in range(1, steps):
-        a[:, t, 0] = a[:, t - 1, 0] + a[:, t - 1, 1] * down
-        a[:, t, 1] = (a[:, t - 1, 0] * up + a[:, t - 1, 1] * stay) * on[:, t]
-        a[:, t] /= a[:, t].sum(1, keepdims=True)
+    for t in range(steps):
+        if t:
+            a[:, t, 0] = a[:, t - 1, 0] + a[:, t - 1, 1] * down[:, t]
+            a[:, t, 1] = (a[:, t - 1, 0] * up + a[:, t - 1, 1] * stay) * on[:, t]
+        size = a[:, t].sum(1)
+        a[:, t] /= size[:, None]
+        log_total += np.log(size)
     b = np.ones((n, 2))
-    p1, moves = np.zeros((n, steps)), np.zeros(3)
+    p1, moves = np.zeros((n, steps)), np.zeros((n, 3))
     for t in range(steps - 1, -1, -1):
         both = a[:, t] * b
         p1[:, t] = both[:, 1] / both.sum(1)
         if t:
-            w = np.stack([a[:, t - 1, 0] * b[:, 0], a[:, t - 1, 0] * up * on[:, t] * b[:, 1], a[:, t - 1, 1] * down * b[:, 0], a[:, t - 1, 1] * stay * on[:, t] * b[:, 1]])
-            w /= w.sum(0)
-            moves += (w[1:] * (mask[:, t] * times)).sum(1)
-            b = np.stack([b[:, 0] + up * on[:, t] * b[:, 1], down * b[:, 0] + stay * on[:, t] * b[:, 1]], 1)
+            high = on[:, t] * b[:, 1]
+            w = np.stack([a[:, t - 1, 0] * b[:, 0], a[:, t - 1, 0] * up * high, a[:, t - 1, 1] * down[:, t] * b[:, 0], a[:, t - 1, 1] * stay * high], 1)
+            w /= w.sum(1, keepdims=True)
+            moves += w[:, 1:] * mask[:, t, None]
+            b = np.stack([b[:, 0] + up * high, down[:, t] * b[:, 0] + stay * high], 1)
             b /= b.sum(1, keepdims=True)
-    p1 *= mask * times[:, None]
-    return np.concatenate([np.einsum("nsf,ns->f", x, p1), [p1[:, 0].sum()], moves])
+    p1 *= mask
+    return np.concatenate([np.einsum("nsf,ns->nf", x, p1), p1[:, :1], moves], 1), log_total
 
 
-def fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], times: np.ndarray, rounds: int = 80, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood (with weight decay) of the emission and transition weights by Adam.
+def fit_chain(xs: list[np.ndarray], held: np.ndarray, toxic: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood (with weight decay) of the emission and transition weights, from labels of documents.
 
-    ``xs`` holds each sequence's (tokens, features), ``ys`` its labels, and ``times`` how often it occurs. Sums over
-    all of them are made by chunks.
+    ``xs`` holds the different sequences, and a row (document, sequence, times) of ``held`` says how often a document
+    holds one. A clean document's tokens are labelled untouched; of a toxic one's, one at least is toxic, and the
+    chain itself infers which: with P0 its probability that none is, the document's likelihood is 1 - P0. Adam climbs
+    the sum of logarithms until the weights settle.
     """
-    chunks = [slice(at, at + CHUNK) for at in range(0, len(xs), CHUNK)]
-    width, total = xs[0].shape[1], max(1, times.sum())
+    chunks = [(slice(at, at + CHUNK), *_padded(xs[at : at + CHUNK])) for at in range(0, len(xs), CHUNK)]
+    document, sequence, times = held.T
+    width, total = xs[0].shape[1], max(1, len(toxic))
     theta = np.zeros(width + 4)
-    theta[0], theta[width + 3] = -2.0, 0.5
-    first, second, seen = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
-    for c in chunks:
-        seen += _seen(*_padded(xs[c], ys[c]), times[c])
+    theta[0], theta[1:3], theta[width + 3] = -5.0, 1.0, 0.5
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        expected = np.zeros_like(theta)
-        for c in chunks:
-            x, _, mask = _padded(xs[c], ys[c])
-            expected += _expected(x, mask, times[c], theta)
-        gradient = (seen - expected) / total - decay * theta
+        sums, log_total = np.empty((len(xs), width + 4)), np.empty(len(xs))
+        for rows, x, mask in chunks:
+            sums[rows], log_total[rows] = expected(x, mask, theta)
+        none = np.exp(-np.bincount(document, times * log_total[sequence], len(toxic)))
+        pull = np.where(toxic > 0, none / np.maximum(1 - none, 1e-9), -1.0)
+        share = np.bincount(sequence, times * pull[document], len(xs))
+        gradient = share @ sums / total - decay * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.98 * second + 0.02 * gradient**2
-        theta = theta + 0.25 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
+        move = 0.25 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
+        theta = theta + move
+        if np.abs(move).max() < 0.01:
+            break
     return theta[:width], theta[width:]
 
 
@@ -228,6 +237,7 @@ def _counter():
             toxic, found, label = batch.column("toxic").to_numpy(), [], []
             for at, end, data, bounds in slices(batch.column("text")):
                 _, _, first, parts = features.tokens(data, bounds)
+                parts = list(parts)
                 for i in range(end - at):
                     own = np.unique(np.concatenate([p[first[i] : first[i + 1]] for p in parts]))
                     own = own[own != 0]
@@ -285,20 +295,22 @@ def train(
 ) -> Tagger:
     """Fit on about ``most_toxic`` + ``most_clean`` labelled documents, drawn by a hash of their id.
 
-    That bound is the only sampling, and rows whose crc32(id as text) mod 5 is 0 are never used. Words and
-    word beginnings that are far more common in toxic documents become cues; tokens of toxic documents that
-    hold a strong cue are labelled, all others not, and the chain is fitted to those labels; a logistic
-    model on the marginals of whole documents gives the score, with the true share of toxic rows.
+    That bound is the only sampling, rows whose crc32(id as text) mod 5 is 0 are never used, and neither are ids with
+    labels at odds. Words and word beginnings that are more common in toxic documents are the chain's evidence.
+    Tokens are labelled by their documents: untouched throughout a clean one, and toxic somewhere in a toxic one,
+    where the chain infers the place (:func:`fit_chain`). A logistic model on the marginals of whole documents gives
+    the score, with the true share of toxic rows.
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))
     )
+    marked = marked.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         base = 12.0 if sizes.get(1) else -12.0
         return Tagger(document=np.array([base, 0, 0, 0]))
     share = F.when(F.col("toxic") == 1, min(1.0, most_toxic / sizes[1])).otherwise(min(1.0, most_clean / sizes[0]))
-    drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["id"])
+    drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
     # proven small: about most_toxic + most_clean rows of two numbers
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(drawn), "id")
     sample = sample.select(F.xxhash64("id", "text").alias("key"), "toxic", "text")
@@ -318,25 +330,25 @@ def train(
     rows = sample.mapInArrow(_sequences(tagger), "key long, toxic int, word binary, begin binary").toPandas().sort_values(["key", "toxic"])
     if not len(rows):
         return Tagger(document=np.array([np.log(sizes[1] / sizes[0]), 0, 0, 0]))
-    windows, documents = {}, []  # equal windows count once, with how often they occur
-    for toxic, word, begin in zip(rows["toxic"], rows["word"], rows["begin"], strict=True):
+    windows, held, documents = {}, [], []  # equal windows are one, with the documents that hold it
+    for d, (word, begin) in enumerate(zip(rows["word"], rows["begin"], strict=True)):
         e, p = np.frombuffer(word, np.float16).astype(np.float32), np.frombuffer(begin, np.float16).astype(np.float32)
         x = design(e, p, np.array([0, len(e)]))
-        y = ((np.maximum(e, p) >= 2.5) & (toxic == 1)).astype(float)
         documents.append(x)
+        own: dict[int, int] = {}
         for at in range(0, len(e), SEQUENCE):
-            own = x[at : at + SEQUENCE], y[at : at + SEQUENCE]
-            windows.setdefault((own[0].tobytes(), own[1].tobytes()), [*own, 0])[2] += 1
+            k = windows.setdefault(x[at : at + SEQUENCE].tobytes(), len(windows))
+            own[k] = own.get(k, 0) + 1
+        held += [(d, k, n) for k, n in own.items()]
     if windows:
-        xs, ys, times = zip(*windows.values(), strict=True)
-        tagger.emission, tagger.moves = fit_chain(list(xs), list(ys), np.array(times, float))
+        xs = [np.frombuffer(w, np.float32).reshape(-1, documents[0].shape[1]) for w in windows]
+        tagger.emission, tagger.moves = fit_chain(xs, np.array(held), rows["toxic"].to_numpy())
     windows.clear()
     summaries = []
     for x in documents:
         fresh = np.zeros(len(x), bool)
         fresh[:1] = True
-        m = marginals(x @ tagger.emission, fresh, tagger.moves) if x[:, 1:3].any() else np.empty(0)
-        summaries.append(summary(m, len(x)))
+        summaries.append(summary(marginals(x @ tagger.emission, fresh, tagger.moves), len(x)))
     toxic = rows["toxic"].to_numpy(float)
     tagger.document = fit_logistic(np.array(summaries), toxic)
     drawn_odds = np.log(max(1.0, toxic.sum()) / max(1.0, (1 - toxic).sum()))
@@ -354,23 +366,17 @@ def _scorer(tagger: Tagger, spans: bool):
             for at, end, data, bounds in slices(batch.column("text")):
                 starts, ends, first, parts = features.tokens(data, bounds)
                 word, begin = _evidence(parts, tagger, quick)
-                some = np.maximum(word, begin) > 0
-                texts = np.searchsorted(first[1:], np.flatnonzero(some), "right")
-                busy = np.unique(texts)
-                x = design(word, begin, first)
-                where = np.concatenate([np.arange(first[i], first[i + 1]) for i in busy]) if len(busy) else np.empty(0, np.int64)
-                fresh = np.isin(where, first[busy]) if len(busy) else np.empty(0, bool)
-                m = np.zeros(len(word))
-                m[where] = marginals(x[where] @ tagger.emission, fresh, tagger.moves)
-                hot = set(busy.tolist())
-                rows = np.array([summary(m[first[i] : first[i + 1]] if i in hot else m[:0], int(first[i + 1] - first[i])) for i in range(end - at)])
+                fresh = np.zeros(len(word), bool)
+                fresh[first[:-1][first[:-1] < first[1:]]] = True
+                m = marginals(design(word, begin, first) @ tagger.emission, fresh, tagger.moves)
+                rows = np.array([summary(m[first[i] : first[i + 1]], int(first[i + 1] - first[i])) for i in range(end - at)])
                 score.append(1 / (1 + np.exp(-np.clip(rows @ tagger.document, -30, 30))))
                 if spans:
                     bad = np.flatnonzero(m >= 0.5)
                     by = np.searchsorted(first[1:], bad, "right")
                     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(bad) else None
                     for i in range(end - at):
-                        own = bad[by == i] if i in hot else bad[:0]
+                        own = bad[np.searchsorted(by, i) : np.searchsorted(by, i, "right")]
                         offsets.append([{"start": int(lead[starts[k]] - lead[bounds[i]]), "end": int(lead[ends[k]] - lead[bounds[i]])} for k in own])
             keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [n for n in batch.schema.names if n != "text"]
@@ -385,9 +391,10 @@ def _scorer(tagger: Tagger, spans: bool):
 def score(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """(id, score, spans) of every row, in whole: ``spans`` are code-point offsets of tokens marked toxic.
 
-    A token's probability comes from forward and backward passes over its whole text; the score is a
-    logistic function of the document's greatest and summed marginals. Null and empty texts get the score of
-    a text without any sign of toxicity, and no spans. Rows keep their number, repeated ones too.
+    A token's probability comes from forward and backward passes over its whole text, with cues or without; the
+    score is a logistic function of the document's greatest and summed marginals. Null and empty texts get the
+    score of a text without any sign of toxicity, and no spans. Rows keep their number, repeated ones and those
+    without id too; other columns of ``docs`` play no part, and an empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = rows.mapInArrow(_scorer(tagger, spans), "id long, score double, spans array<struct<start:int,end:int>>")
