@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longview.llm.common import Scratch, ascii_lower
+from longview.llm.common import Scratch, ascii_lower, unused
 
 #: (verdict, rule): a host and its subdomains, and the start of the path.
 RULES = [
@@ -17,8 +18,6 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-#: Listed hosts; a listed host blocks its subdomains too.
-LISTED = ["cheap-pills.example.com", "spam-farm.example.org", "click-bait.example.net"]
 WORD = 32
 
 
@@ -60,15 +59,13 @@ class Level:
     words: dict[int, int]
 
     def has(self, key: Column) -> Column:
+        """Whether all bits of ``key`` are set. The filter is one literal, which the optimizer parses once."""
         if not self.words:
             return F.lit(False)
-        table = F.array(*(F.lit(self.words.get(i, 0)).cast("long") for i in range(-(-self.bits // WORD))))
-        found = F.lit(True)
-        for k in range(self.hashes):
-            at = F.pmod(F.xxhash64(key, F.lit(self.seed * 131 + k)), F.lit(self.bits))
-            word = F.element_at(table, (F.floor(at / WORD) + 1).cast("int"))
-            found = found & (word.bitwiseAND(_one_bit(at)) != 0)
-        return found
+        words = ",".join(str(self.words.get(i, 0)) for i in range(-(-self.bits // WORD)))
+        table = F.split(F.lit(words), ",").cast("array<bigint>")
+        places = F.array(*(F.pmod(F.xxhash64(key, F.lit(self.seed * 131 + k)), F.lit(self.bits)) for k in range(self.hashes)))
+        return F.forall(places, lambda at: F.element_at(table, (F.floor(at / WORD) + 1).cast("int")).bitwiseAND(_one_bit(at)) != 0)
 
 
 def _one_bit(at: Column) -> Column:
@@ -93,13 +90,14 @@ class Cascade:
         return out
 
 
-def build_level(keys: DataFrame, n: int, rate: float, seed: int, most_bits: int) -> Level:
-    """The filter of ``n`` distinct keys: bits are set on the executors and folded to words before they are sent."""
-    import math
+def size_of(n: int, rate: float) -> int:
+    """Bits of a filter of ``n`` keys with false-positive rate ``rate``."""
+    return max(WORD, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
+
 
-    bits = max(WORD, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    if bits > most_bits:
-        raise ValueError(f"{n} keys need a filter of {bits} bits, above most_bits={most_bits}: use a left-semi join")
+def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
+    """The filter of ``n`` distinct keys: bits are set on the executors and folded to words before they are sent."""
+    bits = size_of(n, rate)
     hashes = max(1, round(bits / n * math.log(2)))
     at = F.explode(F.array(*(F.pmod(F.xxhash64("key", F.lit(seed * 131 + k)), F.lit(bits)) for k in range(hashes))))
     words = (
@@ -110,56 +108,70 @@ def build_level(keys: DataFrame, n: int, rate: float, seed: int, most_bits: int)
     return Level(bits, hashes, seed, {r["w"]: r["b"] for r in words.collect()})
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 22, most_levels: int = 40) -> Cascade:
-    """A cascade exact over every key of ``universe`` (a column ``key`` of distinct values).
+def build_cascade(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 22) -> Cascade | None:
+    """A cascade exact over every key of ``universe`` (a column ``key``); None where a level would pass ``most_bits``.
 
     ``listed`` has the listed keys; those outside the universe need no place in it. The first level's
     false-positive rate follows the ratio of listed to unlisted keys, later levels use one half, so the
-    total size is about listed * log(unlisted / listed) bits; it is checked against ``most_bits``.
+    total size is about listed * log(unlisted / listed) bits. Null and repeated keys count once or not at all.
     """
     with Scratch(universe.sparkSession) as scratch:
-        marked = universe.join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left")
-        marked = scratch.table(marked.select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+        marked = universe.select("key").distinct().join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left")
+        marked = scratch.table(marked.where("key is not null").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
         counts = {r["listed"]: r["n"] for r in marked.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
         inside, outside = counts.get(True, 0), counts.get(False, 0)
         levels: list[Level] = []
         own, other, n = marked.where("listed"), marked.where("not listed"), inside
         while n:
-            if len(levels) == most_levels:
-                raise RuntimeError("the cascade does not end: are the keys distinct?")
-            rate = 0.5 if levels else min(0.5, (inside / max(1, outside)) / 2**0.5)
-            level = build_level(own, n, max(rate, 1e-9), len(levels) + 1, most_bits)
+            rate = max(0.5 if levels else min(0.5, (inside / max(1, outside)) / 2**0.5), 1e-9)
+            if size_of(n, rate) > most_bits:
+                return None
+            level = build_level(own, n, rate, len(levels) + 1)
             levels.append(level)
             passed = other.where(level.has(F.col("key")))
             own, other, n = passed, own, passed.count()
         return Cascade(levels)
 
 
+def drawn_list(pages: DataFrame, url_col: str = "url", digits: str = "01") -> DataFrame:
+    """A list (column ``key``) to filter with where none is given: registered domains, which are here the last three
+    labels of a host, whose MD5 starts with one of the hexadecimal ``digits``."""
+    domain = F.regexp_extract(host_of(F.col(f"`{url_col}`").cast("string")), r"[^.]+\.[^.]+\.[^.]+$", 0)
+    return pages.select(domain.alias("key")).distinct().where((F.col("key") != "") & F.substring(F.md5("key"), 1, 1).isin(*digits))
+
+
 def filter_urls(
     pages: DataFrame,
     url_col: str = "url",
     rules: list[tuple[str, str]] = RULES,
-    listed: list[str] | DataFrame = LISTED,
+    listed: list[str] | DataFrame = (),
+    most_bits: int = 1 << 22,
 ) -> DataFrame:
     """``pages`` with its host, path, the rule that fits (else null) and a verdict, allow or block.
 
     The verdict is the longest fitting rule's; where no rule fits, a url whose host or a parent domain is
-    listed is blocked. Membership is tested by a Bloom filter cascade built over all hosts and parent
-    domains of the table, hence exact, and without a join. A url that is null or has no ``://`` has an
+    ``listed`` is blocked. Membership is tested by a Bloom filter cascade built over all hosts and parent
+    domains of the table, hence exact, and without a join; a list whose filter would pass ``most_bits``, too much
+    to send to every task, is joined by host instead, with the same result. A url that is null or has no ``://`` has an
     empty host and path, fits no rule and is allowed. All columns of ``pages`` are kept; columns of its
-    own with the names host, path, rule or verdict are replaced. An empty table gives no rows.
+    own with the names host, path, rule or verdict are replaced. Repeated rows each get their verdict. An empty
+    table gives no rows.
     """
     spark = pages.sparkSession
     url = F.col(f"`{url_col}`").cast("string")
-    if isinstance(listed, list):
+    if not isinstance(listed, DataFrame):
         listed = spark.createDataFrame([(x,) for x in listed], "key string")
     hosts = pages.select(host_of(url).alias("host")).distinct()
-    universe = hosts.select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
-    cascade = build_cascade(universe, listed)
-    host, path = host_of(url), path_of(url)
-    base = pages.withColumns({"host": host, "path": path})
+    keys = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+    cascade = build_cascade(keys, listed, most_bits)
+    taken = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    base = pages.select(*(F.col(f"`{c}`") for c in taken), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    on_list = F.exists(suffixes(F.col("host")), cascade.has)
-    return base.withColumns(
-        {"rule": rule, "verdict": F.coalesce(verdict, F.when(on_list, "block").otherwise("allow"))}
-    )
+    if cascade:
+        on_list = F.exists(suffixes(F.col("host")), cascade.has)
+    else:
+        (hit,) = unused(base, "hit")
+        found = keys.join(listed.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias(hit)).distinct()
+        base, on_list = base.join(found, "host", "left"), F.coalesce(F.col(hit), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in taken]
+    return base.select(*columns, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(on_list, "block").otherwise("allow")).alias("verdict"))
