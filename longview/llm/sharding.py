@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longview.llm.common import Scratch, cut
+from longview.llm.common import Scratch, cut, unused
 
 LOW, HIGH = -(2**63), 2**63 - 1
 #: Probes per open splitter and round.
@@ -75,45 +75,46 @@ def shard(
     ``tolerance`` of a shard (at most shards / tolerance of them reach the driver) are placed whole first,
     the largest into the emptiest shard, and the splitters fill each shard up to its equal share.
 
-    ``slot`` numbers a shard's rows from 0 without gaps. It is a running count over runs of about
+    A null text counts as empty: size 1, the CRC of no bytes, and one group with empty texts. ``slot`` numbers a shard's rows from 0 without gaps. It is a running count over runs of about
     ``runs_of`` rows, so no task holds a shard. Null ids and repeated rows are rows like others; an empty
     table gives no rows. Columns of ``docs`` are kept, but for those named like the new ones.
     """
     text = F.col(f"`{text_col}`").cast("string")
     new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    taken = [c for c in docs.columns if c not in new]
+    taken = [c for c in docs.columns if c.lower() not in new]
+    t, u, own, run, n_, ahead, seat = unused(docs, "t", "u", "own", "run", "n", "ahead", "seat")
     rows = docs.select(
         *(F.col(f"`{c}`") for c in taken),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("_t"),
-        F.xxhash64(text, F.col(f"`{id_col}`")).alias("_u"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias(t),
+        F.xxhash64(F.coalesce(text, F.lit("")), F.col(f"`{id_col}`")).alias(u),
     )
     with Scratch(docs.sparkSession) as scratch:
         texts = scratch.table(
-            rows.select("_t", "size").groupBy("_t").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+            rows.select(t, "size").groupBy(t).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
         )
         total, n = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         share = max(1, total // shards)
         heavy = texts.where(F.col("bytes") > max(1, int(share * tolerance))).collect()
         load, whole, spread = [0] * shards, {}, []
-        for r in sorted(heavy, key=lambda r: (-r["bytes"], r["_t"])):
+        for r in sorted(heavy, key=lambda r: (-r["bytes"], r[t])):
             least = min(range(shards), key=lambda k: (load[k], k))
             if load[least] + r["bytes"] > share:
-                spread.append(r["_t"])
+                spread.append(r[t])
             else:
-                whole[r["_t"]] = least
+                whole[r[t]] = least
                 load[least] += r["bytes"]
         placed = F.lit(None).cast("int")
         if whole:
             table = F.create_map(*(F.lit(x) for kv in whole.items() for x in kv))
-            placed = F.try_element_at(table, F.col("_t"))
-        key = F.when(F.col("_t").isin(spread), F.col("_u")).otherwise(F.col("_t")) if spread else F.col("_t")
+            placed = F.try_element_at(table, F.col(t))
+        key = F.when(F.col(t).isin(spread), F.col(u)).otherwise(F.col(t)) if spread else F.col(t)
         # the keys that the splitters divide: one row per text, and per row of a spread group
-        free = texts.where(placed.isNull() & ~F.col("_t").isin(spread)) if spread else texts.where(placed.isNull())
-        keys = free.select(F.col("_t").alias("key"), "bytes")
+        free = texts.where(placed.isNull() & ~F.col(t).isin(spread)) if spread else texts.where(placed.isNull())
+        keys = free.select(F.col(t).alias("key"), "bytes")
         if spread:
-            keys = keys.union(rows.where(F.col("_t").isin(spread)).select(F.col("_u").alias("key"), F.col("size").alias("bytes")))
+            keys = keys.union(rows.where(F.col(t).isin(spread)).select(F.col(u).alias("key"), F.col("size").alias("bytes")))
         keys = scratch.table(keys)
         room, targets, at = [max(0, share - x) for x in load], [], 0
         left = total - sum(load)
@@ -122,30 +123,30 @@ def shard(
             at += room[k] * scale
             targets.append(int(at))
         cuts = splitters(keys, targets, max(1, int(share * tolerance)))
-        by_key = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
+        by_key = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col(own))) if cuts else F.lit(0)
         parts = max(32, -(-n // (shards * runs_of)))
         out = (
-            rows.withColumn("_key", key)
+            rows.withColumn(own, key)
             .withColumn("shard", F.coalesce(placed, by_key).cast("int"))
-            .withColumn("_run", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "_t", F.lit(5)), F.lit(parts)).cast("int"))
+            .withColumn(run, F.pmod(F.xxhash64(F.col(f"`{id_col}`"), t, F.lit(5)), F.lit(parts)).cast("int"))
         )
-        sizes = out.groupBy("shard", "_run").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = out.groupBy("shard", run).agg(F.count(F.lit(1)).alias(n_))
         # shards * parts rows: small, and bounded by rows / runs_of
         before = cut(
             sizes.withColumn(
-                "_before",
-                F.sum("_n").over(Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)),
-            ).select("shard", "_run", F.coalesce("_before", F.lit(0)).alias("_before"))
+                ahead,
+                F.sum(n_).over(Window.partitionBy("shard").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)),
+            ).select("shard", run, F.coalesce(ahead, F.lit(0)).alias(ahead))
         )
-        inside = Window.partitionBy("shard", "_run").orderBy("_u", F.col(f"`{id_col}`"))
-        numbered = out.withColumn("_at", F.row_number().over(inside)).join(before, ["shard", "_run"])
+        inside = Window.partitionBy("shard", run).orderBy(u, F.col(f"`{id_col}`"))
+        numbered = out.withColumn(seat, F.row_number().over(inside)).join(before, ["shard", run])
         return numbered.select(
             *(F.col(f"`{c}`") for c in taken),
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),
             "shard",
-            (F.col("_before") + F.col("_at") - 1).cast("long").alias("slot"),
+            (F.col(ahead) + F.col(seat) - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )
 
