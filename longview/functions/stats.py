@@ -31,6 +31,10 @@ def normal_sf(spark: SparkSession, z: float) -> float:
     return 2 * _distributions(spark).NormalDistribution(0.0, 1.0).cumulativeProbability(-abs(float(z)))
 
 
+def normal_quantile(spark: SparkSession, q: float) -> float:
+    return _distributions(spark).NormalDistribution(0.0, 1.0).inverseCumulativeProbability(float(q))
+
+
 def adjust(p: list[float], method: str) -> list[float]:
     """Adjusted p-values of a small family: bonferroni, holm, benjamini-hochberg (fdr_bh), fdr_tsbh or none."""
     p = np.asarray(p, float)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.functions import stats
+from longview.functions.order import average_ranks
 
 
 def _ranked(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,10 +17,7 @@ def _ranked(df: DataFrame, a: str, b: str) -> DataFrame:
     pair = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     out = pair
     for c in "ab":  # ranks of distinct values: running counts over one row per value
-        values = pair.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        before = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = values.select(c, (F.coalesce(before, F.lit(0)) + (F.col("k") + 1) / 2).alias(f"r{c}"))
-        out = out.join(ranks, c)
+        out = out.join(average_ranks(pair, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
     return out.select(F.col("ra").alias(a), F.col("rb").alias(b))
 
 
@@ -90,7 +88,8 @@ def standardized_differences(df: DataFrame, sensitive: str, columns: list[str])
 def category_shares(df: DataFrame, sensitive: str, comp: str) -> DataFrame:
     """(value, category, share, ratio): a category's share in a group, and against its share in the rest."""
     cells = df.where(F.col(sensitive).isNotNull() & F.col(comp).isNotNull()).groupBy(F.col(sensitive).cast("string").alias("value"), F.col(comp).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("k"))
-    grid = cells.select("value").distinct().crossJoin(F.broadcast(cells.select("category").distinct()))  # categories only
+    kinds = cells.agg(F.collect_set("category").alias("categories"))  # categories only: one row
+    grid = cells.select("value").distinct().crossJoin(F.broadcast(kinds)).select("value", F.explode("categories").alias("category"))
     full = grid.join(cells, ["value", "category"], "left").na.fill(0, ["k"])
     by_value, by_category, every = Window.partitionBy("value"), Window.partitionBy("category"), Window.partitionBy()
     n, rest = F.sum("k").over(by_value), F.sum("k").over(every) - F.sum("k").over(by_value)
@@ -148,3 +147,41 @@ def little_test(df: DataFrame, columns: list[str]) -> tuple[float, float, float]
             used += len(seen)
     dof = used - p
     return float(total), float(dof), 1.0 if dof <= 0 else stats.chi2_sf(df.sparkSession, total, dof)
+
+
+def detect_bias(
+    df: DataFrame, sensitive: list[str], numeric: list[str], categorical: list[str] = (), method: str = "spearman", corr_above: float = 0.5, smd_above: float = 0.5, ratio_above: float = 2.0, importance_above: float | None = None
+) -> dict[str, DataFrame]:
+    """The reports on ``sensitive`` columns, each sorted by how strong the finding is.
+
+    ``correlations``: sensitive numbers (text by its sorted codes) against ``numeric``, above ``corr_above``;
+    ``differences``: standardised differences of a group against the rest, above ``smd_above``; ``shares``: categories
+    whose share in a group is over ``ratio_above`` times that in the rest, or under its inverse; ``importances``: features
+    a forest uses to predict a sensitive column, above ``importance_above``, if given.
+    """
+    from longview.operators import encode, ranking
+
+    spark, out, kinds = df.sparkSession, {}, dict(df.dtypes)
+    found = []
+    for s in sensitive:
+        if kinds[s] == "string":
+            coded = encode.label_encode(df.select(s, *numeric), [s], prefix="code").withColumnRenamed(f"code_{s}", "_s")
+        else:
+            coded = df.select(F.col(s).cast("double").alias("_s"), *numeric)
+        for c in numeric:
+            r, n = correlation(coded, "_s", c, method) if c != s else (None, 0)
+            if r is not None and n > 2 and abs(r) > corr_above:
+                found.append((s, c, float(r)))
+    out["correlations"] = spark.createDataFrame(found, "sensitive string, var string, corr double").orderBy(F.abs("corr").desc(), "sensitive", "var")
+    named = lambda name, frame: frame.select(F.lit(name).alias("sensitive"), *frame.columns)
+    together = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(together(frames[1:]))
+    differences = [named(s, standardized_differences(df, s, [c for c in numeric if c != s])) for s in sensitive]
+    out["differences"] = together(differences).where(F.abs("smd") > smd_above).orderBy(F.abs("smd").desc(), "sensitive", "value", "var")
+    shares = [named(s, category_shares(df, s, c)).withColumn("var", F.lit(c)) for s in sensitive for c in categorical if c != s]
+    if shares:
+        far = F.greatest(F.col("ratio"), 1 / F.col("ratio"))
+        out["shares"] = together(shares).where(far > ratio_above).orderBy(far.desc(), "sensitive", "value", "category")
+    if importance_above is not None:
+        parts = [named(s, ranking.importances(df, s, [c for c in numeric if c != s])) for s in sensitive]
+        out["importances"] = together(parts).where(F.col("importance") > importance_above).orderBy(F.col("importance").desc(), "sensitive", "var")
+    return out

@@ -38,7 +38,7 @@ def design(df: DataFrame, treatment: str, covariates: list[str], outcome: str |
     kinds, inputs = dict(rows.dtypes), []
     for c in covariates:
         if kinds[c] == "string":
-            for v in sorted(r[0] for r in rows.select(c).distinct().limit(1000).collect())[1:]:
+            for v in sorted(r[0] for r in rows.select(c).distinct().collect())[1:]:  # a column of the design each, so all are needed here
                 rows = rows.withColumn(f"{c}={v}", (F.col(c) == v).cast("double"))
                 inputs.append(f"{c}={v}")
         else:

@@ -6,6 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longview.session import cut
+
+
+#: Queries that are sent to every task at a time.
+QUERIES = 50_000
+
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """(mean, centred cross products, rows), from one row of sums a partition."""
@@ -57,12 +63,21 @@ def famd(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 2,
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine") -> DataFrame:
     """(query, neighbor, distance): the exact k nearest of each query, itself left out.
 
-    Queries (a bounded set, sent to every task) are compared with blocks of vectors by one matrix product; a
-    task hands on k candidates a query and block.
+    Queries are sent to every task, about ``QUERIES`` at a time, and compared with blocks of vectors by one matrix
+    product; a task hands on k candidates a query and block.
     """
-    rows = queries.select(id_col, vec_col).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("at most 100000 queries at once")
+    parts = max(1, -(-queries.count() // QUERIES))
+    if parts > 1:
+        found = None
+        for part in range(parts):
+            some = _nearest(vectors, queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part), k, id_col, vec_col, metric)
+            found = some if found is None else found.union(some)
+        return found
+    return _nearest(vectors, queries, k, id_col, vec_col, metric)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, metric: str) -> DataFrame:
+    rows = queries.select(id_col, vec_col).collect()
     ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     if not len(ids):
         return vectors.sparkSession.createDataFrame([], "query long, neighbor long, distance double")
@@ -170,7 +185,8 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         votes = both.join(labels.withColumnRenamed("id", "j"), "j").groupBy("i", "label").agg(F.sum("weight").alias("w"))
         new = votes.groupBy(F.col("i").alias("id")).agg(F.max(F.struct("w", (-F.col("label")).alias("n"))).alias("b"))
         moved = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0  # half of the nodes move, so pairs don't swap for ever
-        labels = labels.join(new, "id").select("id", F.when(moved, -F.col("b.n")).otherwise(F.col("label")).alias("label")).checkpoint()
+        labels = labels.join(new, "id").select("id", F.when(moved, -F.col("b.n")).otherwise(F.col("label")).alias("label"))
+        labels = cut(labels)
     return labels
 
 
@@ -217,16 +233,22 @@ def _dtw_block(a: np.ndarray, block: np.ndarray, sizes: np.ndarray) -> np.ndarra
 def series_distances(long: DataFrame, queries: DataFrame, key: str = "obs_id", least: int = 4, block: int = 512) -> DataFrame:
     """(a, b, distance): the mean DTW distance over variables for which both have ``least`` values; 0 if none.
 
-    Every observation of ``queries`` (a bounded set, sent to every task) is compared with every other one of
-    ``long``, by blocks.
+    Every observation of ``queries``, about ``QUERIES`` at a time, is sent to every task and compared with every other
+    one of ``long``, by blocks.
     """
     point = F.when(F.col("value").isNotNull(), F.struct("t", F.col("value").cast("double").alias("v")))
     series = long.groupBy(F.col(key).cast("long").alias("k"), "var").agg(F.array_sort(F.collect_list(point)).alias("s"))
     series = series.groupBy("k").agg(F.collect_list(F.struct("var", F.transform("s", lambda x: x["v"]).alias("s"))).alias("vars"))
     asked = queries.select(F.col(key).cast("long").alias("k")).distinct()
-    rows = series.join(asked, "k", "left_semi").orderBy("k").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("at most 100000 queries at once")
+    parts, found = max(1, -(-asked.count() // QUERIES)), None
+    for part in range(parts):
+        some = _series_part(series, asked.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part), least, block)
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _series_part(series: DataFrame, asked: DataFrame, least: int, block: int) -> DataFrame:
+    rows = series.join(asked, "k", "left_semi").orderBy("k").collect()
     wanted = [(r["k"], {v["var"]: np.array(v["s"], float) for v in r["vars"] if len(v["s"]) >= least}) for r in rows]
 
     def scan(batches):

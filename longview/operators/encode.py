@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longview.functions.order import running_sum
+
 PREFIX = "cat"
 
 
-def categories(df: DataFrame, column: str, most: int = 10_000) -> list:
-    """The sorted distinct values of a column as text, NULL last; more than ``most`` are an error."""
-    rows = df.select(F.col(column).cast("string").alias("v")).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} categories")
+#: Categories up to which a label is looked up in the plan; beyond, labels are joined.
+MANY = 1_000
+
+
+def categories(df: DataFrame, column: str) -> list:
+    """The sorted distinct values of a column as text, NULL last: as many as there are columns to make."""
+    rows = df.select(F.col(column).cast("string").alias("v")).distinct().collect()
     values = sorted(r["v"] for r in rows if r["v"] is not None)
     return values + ([None] if any(r["v"] is None for r in rows) else [])
 
@@ -28,15 +34,79 @@ def one_hot(df: DataFrame, columns: list[str], prefix: str = PREFIX, values: dic
 
 
 def label_encode(df: DataFrame, columns: list[str], prefix: str = PREFIX) -> DataFrame:
-    """``{prefix}_{column}``: the place of each value among the sorted ones."""
-    new = []
+    """``{prefix}_{column}``: the place of each value among the sorted ones, a missing value last."""
+    rest, names = [c for c in df.columns if c not in columns], []
+    out = df
     for c in columns:
-        code = F.lit(None).cast("float")
-        for i, v in enumerate(categories(df, c)):
-            hit = F.col(c).isNull() if v is None else F.col(c).cast("string") == v
-            code = F.when(hit, F.lit(float(i))).otherwise(code)
-        new.append(code.cast("float").alias(f"{prefix}_{c}"))
-    return df.select(*new, *(x for x in df.columns if x not in columns))
+        name = f"{prefix}_{c}"
+        names.append(name)
+        values = df.select(F.col(c).cast("string").alias("v")).distinct()
+        n = values.count()
+        if n <= MANY:
+            code = F.lit(None).cast("float")
+            for i, v in enumerate(categories(df, c)):
+                hit = F.col(c).isNull() if v is None else F.col(c).cast("string") == v
+                code = F.when(hit, F.lit(float(i))).otherwise(code)
+            out = out.withColumn(name, code.cast("float"))
+            continue
+        marked = values.where("v is not null").withColumn("k", F.lit(1))
+        # text has no order that percentiles know, so parts are cut by the first three bytes, and summed in their order
+        lead = F.conv(F.hex(F.substring(F.rpad(F.encode("v", "UTF-8"), 3, F.lit(b"\x00")), 1, 3)), 16, 10).cast("long")
+        parts = marked.withColumn("part", lead)
+        before = running_sum(parts.groupBy("part").agg(F.sum("k").alias("k")), "part", {"before": "k"}, inclusive=False)
+        place = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
+        codes = parts.withColumn("place", place).join(before.select("part", "before"), "part").select(F.col("v").alias("_v"), (F.col("before") + F.col("place")).cast("float").alias(name))
+        out = out.join(codes, F.col(c).cast("string") == F.col("_v"), "left").withColumn(name, F.coalesce(name, F.when(F.col(c).isNull(), F.lit(float(n - 1))))).drop("_v")
+    return out.select(*names, *rest)
+
+
+@dataclass(frozen=True)
+class Encoded:
+    """A table with some columns encoded, which remembers the originals: it can be encoded again, or undone.
+
+    ``original`` is the table before any encoding; ``modes`` says how each encoded column is ("one-hot" or "label").
+    """
+
+    original: DataFrame
+    modes: dict[str, str]
+    prefix: str = PREFIX
+
+    @staticmethod
+    def detect(df: DataFrame, mode: str = "one-hot", key: str = "obs_id", prefix: str = PREFIX) -> Encoded:
+        """Every text column but the key is encoded."""
+        return Encoded(df, {c: mode for c, kind in df.dtypes if kind == "string" and c != key}, prefix)
+
+    def encode(self, modes: dict[str, str]) -> Encoded:
+        """Encoded so instead: named columns change, others stay as they were."""
+        unknown = set(modes) - set(self.original.columns)
+        if unknown or not set(modes.values()) <= {"one-hot", "label"}:
+            raise ValueError(f"unknown columns {sorted(unknown)} or modes {sorted(modes.values())}")
+        return replace(self, modes={**self.modes, **modes})
+
+    @property
+    def frame(self) -> DataFrame:
+        """Encoded columns first, then the others; the originals are in ``original``."""
+        hot = [c for c, m in self.modes.items() if m == "one-hot"]
+        label = [c for c, m in self.modes.items() if m == "label"]
+        out = one_hot(self.original, hot, self.prefix) if hot else self.original
+        return label_encode(out, label, self.prefix) if label else out
+
+    def undo(self, columns: list[str] | None = None) -> DataFrame:
+        """The table with ``columns`` (all of them by default) as they were."""
+        left = {c: m for c, m in self.modes.items() if columns is not None and c not in columns}
+        return replace(self, modes=left).frame
+
+
+def encode_over_time(long: DataFrame, variable: str, prefix: str = PREFIX) -> DataFrame:
+    """A long table in which the text variable ``variable`` (column ``text``) has become 0/1 variables by category and time."""
+    rows = long.where(F.col("var") == variable)
+    made = None
+    for v in categories(rows, "text"):
+        hit = F.col("text").isNull() if v is None else F.coalesce(F.col("text") == v, F.lit(False))
+        part = rows.select("obs_id", F.lit(f"{prefix}_{variable}_{'missing' if v is None else v.strip()}").alias("var"), "t", hit.cast("double").alias("value"))
+        made = part if made is None else made.union(part)
+    rest = long.where(F.col("var") != variable).select("obs_id", "var", "t", F.col("text").cast("double").alias("value"))
+    return rest if made is None else made.union(rest)
 
 
 def sample(df: DataFrame, fraction: float | None = None, n: int | None = None, replace: bool = False, weight: str | None = None, seed: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longview.functions.order import quantile_table
+
 
 def explicit(df: DataFrame, columns: list[str], replacement, empty_strings: bool = True) -> DataFrame:
     """A constant, or one per column (key ``default`` for the others), in place of missing values."""
@@ -33,7 +35,10 @@ def statistic(c: Column, strategy: str) -> Column:
 
 def simple(df: DataFrame, columns: list[str], strategy: str = "mean") -> DataFrame:
     """The mean, median or most frequent value (the least of equals) of each column, from one aggregation."""
-    stats = df.agg(*(statistic(F.col(c), strategy).alias(f"_{c}") for c in columns))
+    if strategy == "median":
+        stats = quantile_table(df, columns, [0.5]).select(*(F.col(c)[0].alias(f"_{c}") for c in columns))
+    else:
+        stats = df.agg(*(statistic(F.col(c), strategy).alias(f"_{c}") for c in columns))
     out = df.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in columns})
     return out.select(*df.columns)
 
@@ -61,52 +66,60 @@ def knn(df: DataFrame, columns: list[str], anchors: list[str], key: str = "obs_i
     Rows with a gap are the query set; donors are scanned in blocks with NumPy (one matrix product a block),
     and each query keeps its k nearest per block, so what is shuffled is k rows a block and query, not pairs.
     """
-    import numpy as np
-
     for column in columns:
         queries = df.where(F.col(column).isNull()).select(key, F.array(*(F.col(a).cast("double") for a in anchors)).alias("q"))
         n = queries.count()
-        if not n:
-            continue
-        if n > 200_000:
-            raise ValueError("more than 200000 rows to impute at once: split them")
-        rows = queries.orderBy(key).collect()  # bounded above
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-
-        def nearest(batches, ids=ids, q=q):
-            import pandas as pd
-
-            for pdf in batches:
-                x = np.stack(pdf["a"]).astype(float)
-                for lo in range(0, len(q), block):
-                    part = q[lo : lo + block]
-                    d = ((part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None]).clip(0)
-                    m = min(k, d.shape[1])
-                    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    yield pd.DataFrame(
-                        {
-                            "i": np.repeat(np.arange(lo, lo + len(part)), m),
-                            "d": np.take_along_axis(d, at, 1).ravel(),
-                            "donor": pdf["k"].to_numpy()[at].ravel(),
-                            "y": pdf["y"].to_numpy()[at].ravel(),
-                        }
-                    )
-
-        donors = df.where(F.col(column).isNotNull()).select(
-            F.array(*(F.col(a).cast("double") for a in anchors)).alias("a"), F.col(column).cast("double").alias("y"), F.col(key).cast("long").alias("k")
-        )
-        found = donors.mapInPandas(nearest, "i long, d double, donor long, y double")
-        w = Window.partitionBy("i").orderBy("d", "donor")
-        mean = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("i").agg(F.avg("y").alias("_y"))
-        names = df.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(ids)], "i long, _k long")
-        df = (
-            df.join(mean.join(names, "i").select("_k", "_y"), F.col(key) == F.col("_k"), "left")
-            .withColumn(column, F.coalesce(F.col(column), F.col("_y")))
-            .drop("_k", "_y")
-        )
+        parts, done = -(-n // 100_000), df
+        for part in range(parts):  # so many rows at a time are sent to every task
+            done = _knn_part(df, done, queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part), column, anchors, key, k, block)
+        df = done
     return df
 
 
+def _knn_part(df: DataFrame, into: DataFrame, queries: DataFrame, column: str, anchors: list[str], key: str, k: int, block: int) -> DataFrame:
+    """``into`` with the gaps of ``queries`` in ``column`` filled from rows of ``df``."""
+    import numpy as np
+
+    rows = queries.orderBy(key).collect()  # a part of about 100,000
+    if not rows:
+        return into
+    ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+    def nearest(batches, ids=ids, q=q):
+        import pandas as pd
+
+        for pdf in batches:
+            pdf = pdf.sort_values("k")
+            x = np.stack(pdf["a"]).astype(float)
+            for lo in range(0, len(q), block):
+                part = q[lo : lo + block]
+                d = ((part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None]).clip(0)
+                m = min(k, d.shape[1])
+                at = np.argsort(d, axis=1, kind="stable")[:, :m]  # of equally near donors the first by key
+                yield pd.DataFrame(
+                    {
+                        "i": np.repeat(np.arange(lo, lo + len(part)), m),
+                        "d": np.take_along_axis(d, at, 1).ravel(),
+                        "donor": pdf["k"].to_numpy()[at].ravel(),
+                        "y": pdf["y"].to_numpy()[at].ravel(),
+                    }
+                )
+
+    donors = df.where(F.col(column).isNotNull()).select(
+        F.array(*(F.col(a).cast("double") for a in anchors)).alias("a"), F.col(column).cast("double").alias("y"), F.col(key).cast("long").alias("k")
+    )
+    found = donors.mapInPandas(nearest, "i long, d double, donor long, y double")
+    w = Window.partitionBy("i").orderBy("d", "donor")
+    mean = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("i").agg(F.avg("y").alias("_y"))
+    names = df.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(ids)], "i long, _k long")
+    into = (
+        into.join(mean.join(names, "i").select("_k", "_y"), F.col(key) == F.col("_k"), "left")
+        .withColumn(column, F.coalesce(F.col(column), F.col("_y")))
+        .drop("_k", "_y")
+    )
+    return into
+
+
 def by_trees(df: DataFrame, columns: list[str], rounds: int = 3, trees: int = 20, boosted: bool = False, seed: int = 0) -> DataFrame:
     """Iterated regression of each incomplete column on the others (random forest, or boosted trees)."""
     from pyspark.ml.feature import VectorAssembler

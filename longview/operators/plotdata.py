@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longview.functions.order import quantile_table
+
 
 def presence_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "var", "v").groupBy("var").agg(F.count("v").alias("present"))
@@ -25,9 +27,10 @@ def group_means(df: DataFrame, group: str, columns: list[str], cutoff: float = 0
 
 
 def group_quantiles(df: DataFrame, group: str, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
+    """(group, low, q1, median, q3, high): what a violin or box shows."""
     names = ("low", "q1", "median", "q3", "high")
-    return df.groupBy(F.col(group).cast("string").alias("group")).agg(q.alias("q")).select("group", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    rows = df.select(F.col(group).cast("string").alias("group"), F.col(column).cast("double").alias("q"))
+    return quantile_table(rows, ["q"], [0.0, 0.25, 0.5, 0.75, 1.0], ["group"]).select("group", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.functions import stats
+from longview.functions.order import average_ranks, running_sum
+from longview.session import cut
 
 #: Power-divergence family: name -> lambda.
 LAMBDAS = {
@@ -51,9 +53,8 @@ def wilcoxon(df: DataFrame, group: str, column: str) -> DataFrame:
     """
     rows = df.where(F.col(column).isNotNull() & F.col(group).isNotNull())
     cells = rows.groupBy(F.col(group).cast("string").alias("group"), F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    values = cells.groupBy("v").agg(F.sum("k").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select("v", (before + (F.col("k") + 1) / 2).alias("rank"))
+    values = running_sum(cells.groupBy("v").agg(F.sum("k").alias("k")), "v", {"before": "k"}, inclusive=False)
+    ranks = values.select("v", (F.col("before") + (F.col("k") + 1) / 2).alias("rank"))
     out = cells.join(ranks, "v").groupBy("group").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("rank_sum"))
     total = F.sum("n").over(Window.partitionBy())
     n1, n2 = F.col("n"), total - F.col("n")
@@ -163,31 +164,80 @@ def table_one(df: DataFrame, group: str, continuous: list[str], categorical: lis
     return out
 
 
+def table_one_tests(df: DataFrame, group: str, continuous: list[str], categorical: list[str], nonnormal: list[str] = (), adjust: str | None = None) -> DataFrame:
+    """(var, test, statistic, df1, df2, p, p_adj, smd): one test a variable, from sums by group.
+
+    Two groups: Welch's t; more: one-way analysis of variance; ``nonnormal``: Kruskal-Wallis on average ranks with its
+    correction for ties; categories: chi-square without Yates' correction. ``smd`` is the greatest standardised
+    difference between two groups (numbers only).
+    """
+    spark, rows = df.sparkSession, df.where(F.col(group).isNotNull())
+    out = []
+    for c in continuous:
+        x = F.col(c).cast("double")
+        got = rows.where(x.isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v")).orderBy("g").collect()
+        n, m, v = (np.array([r[k] if r[k] is not None else 0.0 for r in got], float) for k in "nmv")
+        k, total = len(n), n.sum()
+        pooled = np.sqrt((v[:, None] + v[None]) / 2)
+        smd = float(np.max(np.abs(m[:, None] - m[None]) / np.where(pooled == 0, np.inf, pooled))) if k > 1 else None
+        if k < 2:
+            out.append((c, None, None, None, None, None, smd))
+        elif c in nonnormal:
+            ranks = average_ranks(rows, c)
+            r = rows.where(x.isNotNull()).join(ranks.select(F.col("value").alias(c), "rank"), c).groupBy(F.col(group).cast("string").alias("g")).agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+            ties = ranks.agg(F.sum(F.pow(F.col("k").cast("double"), 3) - F.col("k"))).first()[0] or 0.0
+            h = 12 / (total * (total + 1)) * sum(q["s"] ** 2 / q["n"] for q in r) - 3 * (total + 1)
+            h /= 1 - ties / (total**3 - total) if total > 1 else 1
+            out.append((c, "kruskal-wallis", float(h), float(k - 1), None, stats.chi2_sf(spark, h, k - 1), smd))
+        elif k == 2:
+            a, b = v[0] / n[0], v[1] / n[1]
+            t, dof = (m[0] - m[1]) / np.sqrt(a + b), (a + b) ** 2 / (a * a / (n[0] - 1) + b * b / (n[1] - 1))
+            out.append((c, "welch", float(t), float(dof), None, float(stats.t_sf(spark, t, dof)), smd))
+        else:
+            grand = (n * m).sum() / total
+            f = ((n * (m - grand) ** 2).sum() / (k - 1)) / (((n - 1) * v).sum() / (total - k))
+            out.append((c, "anova", float(f), float(k - 1), float(total - k), stats.f_sf(spark, f, k - 1, total - k), smd))
+    for c in categorical:
+        cells = contingency(rows, group, c).collect()
+        xs, ys = sorted({r["a"] for r in cells}), sorted({r["b"] for r in cells})
+        seen = np.zeros((len(xs), len(ys)))
+        for r in cells:
+            seen[xs.index(r["a"]), ys.index(r["b"])] = r["n"]
+        dof = (len(xs) - 1) * (len(ys) - 1)
+        expected = np.outer(seen.sum(1), seen.sum(0)) / seen.sum() if dof > 0 else seen
+        chi = float(((seen - expected) ** 2 / np.where(expected == 0, 1, expected)).sum())
+        out.append((c, "chi-square", chi, float(dof), None, stats.chi2_sf(spark, chi, dof), None))
+    adjusted = stats.adjust([1.0 if r[5] is None else r[5] for r in out], adjust)
+    table = [(*r[:6], float(q), r[6]) for r, q in zip(out, adjusted, strict=True)]
+    return spark.createDataFrame(table, "var string, test string, statistic double, df1 double, df2 double, p double, p_adj double, smd double")
+
+
 class CohortTracker:
-    """Sizes and summaries of a cohort after each step, as a tree of steps; one aggregation per call."""
+    """Sizes and summaries of a cohort after each step, as a tree of steps. Levels and tables stay in Spark."""
 
     def __init__(self, df: DataFrame, continuous: list[str], categorical: list[str]):
         self.continuous, self.categorical, self.steps = continuous, categorical, []
-        self.known = {c: self._levels(df, c) for c in categorical}
+        self.known = cut(self._levels(df)) if categorical else None
 
-    @staticmethod
-    def _levels(df: DataFrame, c: str) -> set:
-        return {r[0] for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(10_000).collect()}
+    def _levels(self, df: DataFrame) -> DataFrame:
+        wide = df.select(*(F.col(c).cast("string").alias(c) for c in self.categorical))
+        return wide.unpivot([], self.categorical, "var", "level").where("level is not null").distinct()
 
     def __call__(self, df: DataFrame, label: str, operation: str = "", parent: str | None = None) -> DataFrame:
         labels = [s["label"] for s in self.steps]
         if parent is not None and labels.count(parent) != 1:
             raise ValueError(f"parent {parent!r} is unknown or ambiguous")
-        fresh = {c: self._levels(df, c) - self.known[c] for c in self.categorical}
-        if any(fresh.values()):
-            raise ValueError(f"new categories: {fresh}")
-        table = table_one(df.withColumn("_all", F.lit("all")), "_all", self.continuous, self.categorical).collect()
-        found = {(r["var"], r["level"]): r.asDict() for r in table}
-        for c in self.categorical:
-            for v in self.known[c]:
-                found.setdefault((c, v), {"group": "all", "var": c, "level": v, "n": 0, "value": 0.0, "spread_low": None, "spread_high": None})
+        if self.categorical:
+            fresh = self._levels(df).join(self.known, ["var", "level"], "left_anti").orderBy("var", "level").limit(5).collect()
+            if fresh:
+                raise ValueError(f"new categories, among them {[tuple(r) for r in fresh]}")
+        table = table_one(df.withColumn("_all", F.lit("all")), "_all", self.continuous, self.categorical).drop("group")
+        if self.categorical:  # known levels that are gone count as none
+            gone = self.known.join(table.select("var", "level"), ["var", "level"], "left_anti")
+            gone = gone.select("var", "level", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("value"), F.lit(None).cast("double").alias("spread_low"), F.lit(None).cast("double").alias("spread_high"))
+            table = table.unionByName(gone)
         n = df.count()
-        self.steps.append({"label": label, "operation": operation, "parent": parent or (labels[-1] if labels else None), "n": n, "text": f"{label}\n (n={n})", "table": list(found.values())})
+        self.steps.append({"label": label, "operation": operation, "parent": parent or (labels[-1] if labels else None), "n": n, "text": f"{label}\n (n={n})", "table": cut(table)})
         return df
 
     @property
@@ -195,5 +245,11 @@ class CohortTracker:
         return len(self.steps)
 
     def tracked_tables(self, spark) -> DataFrame:
-        rows = [(i, s["label"], s["parent"], s["n"], r["var"], r["level"], r["n"], r["value"], r["spread_low"]) for i, s in enumerate(self.steps) for r in s["table"]]
-        return spark.createDataFrame(rows, "step int, label string, parent string, cohort long, var string, level string, n long, value double, spread double")
+        out = None
+        for i, s in enumerate(self.steps):
+            part = s["table"].select(
+                F.lit(i).alias("step"), F.lit(s["label"]).alias("label"), F.lit(s["parent"]).cast("string").alias("parent"), F.lit(s["n"]).cast("long").alias("cohort"),
+                "var", "level", "n", "value", F.col("spread_low").alias("spread"),
+            )
+            out = part if out is None else out.union(part)
+        return out if out is not None else spark.createDataFrame([], "step int, label string, parent string, cohort long, var string, level string, n long, value double, spread double")

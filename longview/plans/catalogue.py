@@ -607,10 +607,19 @@ def violin(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _extend()
     return {name: f for name, (f, _) in REGISTRY.items()}
 
 
+def _extend() -> None:
+    """The rest of the catalogue adds itself to the registry."""
+    from longview.plans import extended
+
+    assert extended.register is register
+
+
 def oracle_sql() -> dict[str, str]:
+    _extend()
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
