@@ -139,7 +139,8 @@ def running_sum(table: DataFrame, by: str, sums: dict[str, str], keys: list[str]
     before = Window.partitionBy(*keys).orderBy(F.col("_part").desc() if descending else F.col("_part").asc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_{new}").over(before), F.lit(0)).alias(f"_{new}") for new in sums))
     inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    joined = cut.join(totals.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [cut["_part"] == totals["_part"]])
+    totals = totals.withColumnsRenamed({k: f"_{k}" for k in keys} | {"_part": "_same"})
+    joined = cut.join(totals, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_part") == F.col("_same")])
     return joined.select(*table.columns, *((F.col(f"_{new}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(new) for new, c in sums.items()))
 
 

@@ -104,6 +104,7 @@ def diffusion_map(edges: DataFrame, k: int = 3, rounds: int = 40, seed: int = 0)
     Orthogonal iteration: a round multiplies the matrix into k columns by one join and one aggregation, and only k x k
     sums reach the driver. ``edges`` has both directions; results are cut from their lineage by a checkpoint.
     """
+    edges = cut(edges.select("i", "j", "weight"))
     degree = edges.groupBy("i").agg(F.sum("weight").alias("d"))
     q = edges.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("weight") / (F.col("d") * F.col("e"))).alias("w"))
     z = q.groupBy("i").agg(F.sqrt(F.sum("w")).alias("z"))
@@ -155,6 +156,7 @@ def layout(edges: DataFrame, start: DataFrame, rounds: int = 30, negatives: int
     1 / (1 + a d^(2b)) in the plane, from positions ``start`` (id, x, y). A round is one join and one aggregation a side;
     the observations that repel are drawn by a hash of the id, so a round does not depend on how rows are dealt out.
     """
+    edges = cut(edges.select("i", "j", "weight"))
     place = cut(start.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
     n = place.count()
     index = place.select("id").withColumn("slot", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -194,6 +196,7 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
     In a round each node weighs its neighbours' communities by w(node, c) - resolution * degree * total(c) / 2m and half
     of the nodes (by a hash, so that pairs do not swap for ever) take the best; a tie goes to the smallest label.
     """
+    edges = cut(edges.select("i", "j", "weight"))
     degree = cut(edges.groupBy(F.col("i").alias("id")).agg(F.sum("weight").alias("d")))
     total = degree.agg(F.sum("d")).first()[0] or 1.0
     labels = degree.select("id", F.col("id").alias("label"), "d")

@@ -180,6 +180,7 @@ def group_graph(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label) by label propagation on weighted edges (i, j, weight): each node takes its heaviest neighbouring label."""
     both = edges.select("i", "j", "weight").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
+    both = cut(both)
     labels = both.select(F.col("i").alias("id")).distinct().withColumn("label", F.col("id"))
     for r in range(rounds):
         votes = both.join(labels.withColumnRenamed("id", "j"), "j").groupBy("i", "label").agg(F.sum("weight").alias("w"))

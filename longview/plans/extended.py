@@ -401,12 +401,12 @@ def graph_weights(spark, sf):
 
 @register()
 def diffusion_components(spark, sf):
-    return cluster.diffusion_map(_graph(spark, sf), 3)[0]
+    return cluster.diffusion_map(_graph(spark, sf), 3, rounds=12)[0]
 
 
 @register()
 def diffusion_pseudotime(spark, sf):
-    parts, values = cluster.diffusion_map(_graph(spark, sf), 3)
+    parts, values = cluster.diffusion_map(_graph(spark, sf), 3, rounds=12)
     root = parts.agg(F.min("id")).first()[0]
     labels = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return figures.pseudotime_order(cluster.pseudotime(parts, values, root), labels)
@@ -423,7 +423,7 @@ def graph_layout(spark, sf):
     width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
     df = v.select(F.col("vec_id").alias("obs_id"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)))
     start = embedding.pca(df, [f"e{i}" for i in range(width)], 2)[0].select(F.col("obs_id").alias("id"), F.col("pc1").alias("x"), F.col("pc2").alias("y"))
-    return cluster.layout(_graph(spark, sf), start, rounds=15)
+    return cluster.layout(_graph(spark, sf), start, rounds=8)
 
 
 @register("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id AS id, CAST(b.label AS VARCHAR) AS label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(a.v, b.v), 12), b.vec_id) AS r
