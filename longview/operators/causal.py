@@ -48,9 +48,10 @@ def design(df: DataFrame, treatment: str, covariates: list[str], outcome: str |
     return rows.select(key, F.col(treatment).cast("double").alias("t"), y.alias("y"), "x")
 
 
-def propensity(table: DataFrame, clip: tuple[float, float] | None = CLIP) -> DataFrame:
-    """``table`` with ``ps``, by ridge-penalised logistic regression (penalty 1 / n)."""
-    model = LogisticRegression(featuresCol="x", labelCol="t", regParam=1.0 / max(1, table.count()), standardization=False).fit(table)
+def propensity(table: DataFrame, clip: tuple[float, float] | None = CLIP, weight: str | None = None) -> DataFrame:
+    """``table`` with ``ps``, by ridge-penalised logistic regression (penalty 1 / n), rows counted by ``weight`` if given."""
+    learner = LogisticRegression(featuresCol="x", labelCol="t", regParam=1.0 / max(1, table.count()), standardization=False)
+    model = (learner.setWeightCol(weight) if weight else learner).fit(table)
     ps = vector_to_array("probability")[1]
     if clip:
         ps = F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), ps))
@@ -68,21 +69,38 @@ def _hajek(w: Column) -> Column:
     return arm(1) - arm(0)
 
 
-def iptw(table: DataFrame, stabilized: bool = True, clip=CLIP, n_bootstrap: int = 0, seed: int = 0) -> Effect:
-    """Weighted difference of means. Bootstrap replicates are Poisson counts of rows, in one aggregation."""
+def _drawn(replicate: int, seed: int) -> Column:
+    """How often a bootstrap replicate draws a row: a Poisson(1) count from a hash of the row's id."""
+    u = F.pmod(F.xxhash64("obs_id", F.lit(seed * 10_007 + replicate)), F.lit(1 << 24)) / float(1 << 24)
+    return sum(((u > c).cast("int") for c in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])), F.lit(0))
+
+
+def iptw(table: DataFrame, stabilized: bool = True, clip=CLIP, n_bootstrap: int = 0, seed: int = 0, refit: bool = True) -> Effect:
+    """Weighted difference of means. A bootstrap replicate counts rows by Poisson draws, and fits its own propensities.
+
+    Without ``refit`` replicates share one fit and are made in one aggregation.
+    """
+    table = table.persist()
     scored = propensity(table, clip).persist()
     try:
         share = scored.agg(F.avg("t")).first()[0]
-        w = weights(stabilized, share)
-        made = [_hajek(w).alias("value"), F.count(F.lit(1)).alias("n")]
-        for b in range(n_bootstrap):
-            u = F.pmod(F.xxhash64("obs_id", F.lit(seed * 10_007 + b)), F.lit(1 << 24)) / float(1 << 24)
-            count = sum(((u > c).cast("int") for c in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])), F.lit(0))
-            made.append(_hajek(w * count).alias(f"b{b}"))
+        made = [_hajek(weights(stabilized, share)).alias("value"), F.count(F.lit(1)).alias("n")]
+        if not refit:
+            made += [_hajek(weights(stabilized, share) * _drawn(b, seed)).alias(f"b{b}") for b in range(n_bootstrap)]
         row = scored.agg(*made).first()
+        if refit:
+            draws = []
+            for b in range(n_bootstrap):
+                own = table.withColumn("_times", _drawn(b, seed).cast("double")).where("_times > 0")
+                found = propensity(own, clip, "_times")
+                ratio = found.agg(F.sum(F.col("t") * F.col("_times")) / F.sum("_times")).first()[0]
+                draws.append(found.agg(_hajek(weights(stabilized, ratio) * F.col("_times"))).first()[0])
+        else:
+            draws = [row[f"b{b}"] for b in range(n_bootstrap)]
     finally:
         scored.unpersist()
-    draws = np.array([row[f"b{b}"] for b in range(n_bootstrap)], float)
+        table.unpersist()
+    draws = np.array(draws, float)
     spread = (float(draws.std(ddof=1)), *map(float, np.quantile(draws, [0.025, 0.975]))) if n_bootstrap > 1 else (None, None, None)
     return Effect("iptw", row["value"], *spread, n=row["n"])
 
@@ -117,11 +135,19 @@ def aipw(table: DataFrame, clip=CLIP) -> Effect:
     return Effect("aipw", row["v"], se, row["v"] - 1.96 * se, row["v"] + 1.96 * se, row["n"])
 
 
-def matching(table: DataFrame, k: int = 1, caliper: float = 0.2, key: str = "obs_id") -> Effect:
-    """Effect on the treated by the k nearest controls in propensity logit within ``caliper`` standard deviations.
+def matching(table: DataFrame, k: int = 1, caliper: float = 0.2, key: str = "obs_id", estimand: str = "att") -> Effect:
+    """Effect by the k nearest rows of the other arm in propensity logit within ``caliper`` standard deviations.
 
-    Controls are cut into bins one caliper wide; a treated row meets three bins only (an equi-join).
+    ``att`` matches treated rows to controls, with replacement; ``ate`` also matches controls to treated rows and takes
+    the mean over both. The other arm is cut into bins one caliper wide; a row meets three bins only (an equi-join).
     """
+    if estimand == "ate":
+        one = matching(table, k, caliper, key)
+        swapped = table.withColumn("t", 1 - F.col("t"))
+        other = matching(swapped, k, caliper, key)
+        n = one.n + other.n
+        value = ((one.value or 0.0) * one.n - (other.value or 0.0) * other.n) / n if n else None
+        return Effect("matching", value, n=n, dropped=one.dropped + other.dropped)
     scored = propensity(table, (1e-6, 1 - 1e-6)).withColumn("l", F.log(F.col("ps") / (1 - F.col("ps"))))
     width = (scored.agg(F.stddev_samp("l")).first()[0] or 0.0) * caliper or 1e-9
     cell = F.floor(F.col("l") / width).cast("long")

@@ -491,7 +491,7 @@ def covariate_balance(spark, sf):
 
 
 def _effect(spark, e) -> DataFrame:
-    return spark.createDataFrame([(e.method, float(e.value), int(e.n))], "method string, value double, n long")
+    return spark.createDataFrame([(e.method, float(e.value), e.se, e.low, e.high, int(e.n))], "method string, value double, se double, low double, high double, n long")
 
 
 def _design(spark, sf) -> DataFrame:
@@ -500,7 +500,7 @@ def _design(spark, sf) -> DataFrame:
 
 @register()
 def causal_iptw(spark, sf):
-    return _effect(spark, causal.iptw(_design(spark, sf), n_bootstrap=20))
+    return _effect(spark, causal.iptw(_design(spark, sf), n_bootstrap=20, refit=False))
 
 
 @register()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from longview.frame import from_table, move_to_obs, move_to_x, obs_df, var_df
 from longview.functions import order
 from longview.operators import association, causal, cluster, embedding, encode, figures, impute, normalize, quality, ranking, survival
-from longview.plans.catalogue import GAPPY, RISK, SURVIVAL, TENSOR, _design, _gappy, _r, _survival, _t, _tensor, _treated, register
+from longview.plans.catalogue import GAPPY, RISK, SURVIVAL, TENSOR, _design, _effect, _gappy, _r, _survival, _t, _tensor, _treated, register
 
 NUMBERS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -473,6 +473,16 @@ def cox_adjusted_curves(spark, sf):
     return survival.adjusted_curves(s, "duration", "event", ["l_quantity", "l_discount"], "f", points=20)
 
 
+@register()
+def causal_iptw_refit(spark, sf):
+    return _effect(spark, causal.iptw(_design(spark, sf), n_bootstrap=3))
+
+
+@register()
+def causal_matching_both(spark, sf):
+    return _effect(spark, causal.matching(_design(spark, sf), estimand="ate"))
+
+
 @register()
 def causal_matching(spark, sf):
     e = causal.matching(_design(spark, sf))
