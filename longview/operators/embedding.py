@@ -231,8 +231,39 @@ def _dtw_block(a: np.ndarray, block: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.sqrt(last[sizes, np.arange(block.shape[1])])
 
 
-def series_distances(long: DataFrame, queries: DataFrame, key: str = "obs_id", least: int = 4, block: int = 512) -> DataFrame:
-    """(a, b, distance): the mean DTW distance over variables for which both have ``least`` values; 0 if none.
+def _aligned(a: np.ndarray, ends: np.ndarray, b: np.ndarray, sizes: np.ndarray, kind: str) -> np.ndarray:
+    """Soft-DTW (gamma 1) or the log of the global alignment kernel (sigma 1) of the columns of ``a`` with those of ``b``.
+
+    Of the columns' values the first ``ends`` and ``sizes`` count. Sums of exponentials are kept as logarithms.
+    """
+    n = b.shape[1]
+    last, out = np.full((b.shape[0] + 1, n), -np.inf), np.full(n, -np.inf)
+    last[0] = 0
+    for i, x in enumerate(a):
+        square, row = (x - b) ** 2, np.full_like(last, -np.inf)
+        gain = -square if kind == "soft_dtw" else -square / 2 - np.log(2 - np.exp(-square / 2))
+        for j in range(b.shape[0]):
+            row[j + 1] = gain[j] + np.logaddexp(np.logaddexp(last[j], last[j + 1]), row[j])
+        last = row
+        out = np.where(ends == i + 1, last[sizes, np.arange(n)], out)
+    return -out if kind == "soft_dtw" else out
+
+
+def _apart(a: np.ndarray, block: np.ndarray, sizes: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of one series from each column of ``block``: dtw, soft-DTW divergence, or one minus the normalised kernel."""
+    if metric == "dtw":
+        return _dtw_block(a, block, sizes)
+    n, one = block.shape[1], a[:, None]
+    ends = np.full(n, len(a))
+    both = _aligned(np.repeat(one, n, 1), ends, block, sizes, metric)
+    own, other = _aligned(one, ends[:1], one, ends[:1], metric)[0], _aligned(block, sizes, block, sizes, metric)
+    return both - (own + other) / 2 if metric == "soft_dtw" else 1 - np.exp(both - (own + other) / 2)
+
+
+def series_distances(long: DataFrame, queries: DataFrame, key: str = "obs_id", least: int = 4, block: int = 512, metric: str = "dtw") -> DataFrame:
+    """(a, b, distance): the mean distance over variables for which both have ``least`` values; 0 if none.
+
+    ``metric`` is dtw, soft_dtw or gak.
 
     Every observation of ``queries``, about ``QUERIES`` at a time, is sent to every task and compared with every other
     one of ``long``, by blocks.
@@ -243,12 +274,12 @@ def series_distances(long: DataFrame, queries: DataFrame, key: str = "obs_id", l
     asked = queries.select(F.col(key).cast("long").alias("k")).distinct()
     parts, found = max(1, -(-asked.count() // QUERIES)), None
     for part in range(parts):
-        some = _series_part(series, asked.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part), least, block)
+        some = _series_part(series, asked.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part), least, block, metric)
         found = some if found is None else found.union(some)
     return found
 
 
-def _series_part(series: DataFrame, asked: DataFrame, least: int, block: int) -> DataFrame:
+def _series_part(series: DataFrame, asked: DataFrame, least: int, block: int, metric: str) -> DataFrame:
     rows = series.join(asked, "k", "left_semi").orderBy("k").collect()
     wanted = [(r["k"], {v["var"]: np.array(v["s"], float) for v in r["vars"] if len(v["s"]) >= least}) for r in rows]
 
@@ -274,7 +305,7 @@ def _series_part(series: DataFrame, asked: DataFrame, least: int, block: int) ->
                     total, times = np.zeros(len(own)), np.zeros(len(own))
                     for var in sorted(mine.keys() & padded.keys()):
                         at, grid, sizes = padded[var]
-                        total[at] += _dtw_block(mine[var], grid, sizes)
+                        total[at] += _apart(mine[var], grid, sizes, metric)
                         times[at] += 1
                     out = pd.DataFrame({"a": k, "b": own, "distance": total / np.maximum(times, 1)})
                     yield out[own != k]

@@ -9,6 +9,7 @@ from longview.frame import from_table, move_to_obs, move_to_x, obs_df, var_df
 from longview.functions import order
 from longview.operators import association, causal, cluster, embedding, encode, figures, impute, normalize, quality, ranking, survival
 from longview.plans.catalogue import GAPPY, RISK, SURVIVAL, TENSOR, _design, _effect, _gappy, _r, _survival, _t, _tensor, _treated, register
+from longview.session import versions as session_versions
 
 NUMBERS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -436,6 +437,23 @@ def ingest_labels(spark, sf):
     return cluster.transfer_labels(near, v.select(F.col("vec_id").alias("id"), "label"))
 
 
+@register()
+def soft_dtw_distances(spark, sf):
+    long = _tensor(spark, sf)
+    return embedding.series_distances(long, long.where("obs_id % 50 = 0"), metric="soft_dtw")
+
+
+@register()
+def alignment_distances(spark, sf):
+    long = _tensor(spark, sf)
+    return embedding.series_distances(long, long.where("obs_id % 50 = 0"), metric="gak")
+
+
+@register()
+def versions(spark, sf):
+    return session_versions(spark)
+
+
 @register()
 def embedding_density(spark, sf):
     return embedding.density(_lines(spark, sf).select("obs_id", "l_quantity", "l_extendedprice", "l_linestatus"), "l_quantity", "l_extendedprice", "l_linestatus")

@@ -33,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="longview-"))
     return df.checkpoint()
+
+
+def versions(spark: SparkSession) -> DataFrame:
+    """(component, version) of what a result rests on."""
+    import platform
+    from importlib import metadata
+
+    found = [("python", platform.python_version()), ("spark", spark.version), ("java", spark._jvm.System.getProperty("java.version"))]
+    for name in ("numpy", "pandas", "pyarrow"):
+        found.append((name, metadata.version(name)))
+    return spark.createDataFrame(found, "component string, version string")

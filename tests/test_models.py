@@ -146,3 +146,34 @@ def test_sources(spark, tmp_path):
     assert back["y"].isna().tolist() == [False, True]
     tables.write_parquet(frame, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "x")).count() == 2
+
+
+@pytest.mark.parametrize("metric", ["soft_dtw", "gak"])
+def test_series_kernels_equal_plain_recursions(metric):
+    def plain(a, b):
+        if metric == "soft_dtw":
+            t = np.full((len(a) + 1, len(b) + 1), np.inf)
+            t[0, 0] = 0
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    t[i + 1, j + 1] = (a[i] - b[j]) ** 2 - np.log(sum(np.exp(-x) for x in (t[i, j], t[i, j + 1], t[i + 1, j])))
+            return t[-1, -1]
+        t = np.zeros((len(a) + 1, len(b) + 1))
+        t[0, 0] = 1
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = np.exp(-((a[i] - b[j]) ** 2) / 2)
+                t[i + 1, j + 1] = k / (2 - k) * (t[i, j] + t[i, j + 1] + t[i + 1, j])
+        return t[-1, -1]
+
+    rng = np.random.default_rng(1)
+    a, columns = rng.normal(size=6), [rng.normal(size=n) for n in (4, 7, 5)]
+    grid = np.zeros((7, 3))
+    for i, c in enumerate(columns):
+        grid[: len(c), i] = c
+    got = embedding._apart(a, grid, np.array([4, 7, 5]), metric)
+    if metric == "soft_dtw":
+        want = [plain(a, c) - (plain(a, a) + plain(c, c)) / 2 for c in columns]
+    else:
+        want = [1 - plain(a, c) / np.sqrt(plain(a, a) * plain(c, c)) for c in columns]
+    assert got == pytest.approx(want)
