@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -100,7 +101,7 @@ def nothing() -> Centroids:
     return Centroids(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(BANDS))
 
 
-def fit(lang: list[str], counts: np.ndarray, pieces: np.ndarray, per_language: int, seed: int, reject: float, slack: float) -> Centroids:
+def fit(lang: list[str], counts: np.ndarray, pieces: Iterator[np.ndarray], per_language: int, seed: int, reject: float, slack: float) -> Centroids:
     """Spherical k-means inside each language; limits are low quantiles, by length, of the cosines of texts and of their pieces."""
     df = (counts > 0).sum(0)
     idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
@@ -121,10 +122,9 @@ def fit(lang: list[str], counts: np.ndarray, pieces: np.ndarray, per_language: i
         owners += [name] * k
     model.center, model.lang = np.concatenate(centers).astype(np.float32), owners
     top, band = [], []
-    for rows in (counts, *np.array_split(pieces, max(1, len(pieces) // 512))):
-        if len(rows):
-            top.append((model.vectors(rows) @ model.center.T).max(1))
-            band.append(bands(rows))
+    for rows in chain([counts], pieces):
+        top.append((model.vectors(rows) @ model.center.T).max(1))
+        band.append(bands(rows))
     top, band = np.concatenate(top), np.concatenate(band)
     for k in range(BANDS):  # longer texts come closer to a centroid: a limit holds until a later one is measured
         own = top[band == k]
@@ -151,11 +151,11 @@ def _featurise(batches: Iterator) -> Iterator:
                 if counts is not None:
                     at = np.flatnonzero(counts)
                     lang.append(name)
-                    where.append(at.astype(np.int16))
-                    times.append(counts[at].astype(np.int32))
+                    where.append(at.astype(np.int16).tobytes())
+                    times.append(counts[at].astype(np.int32).tobytes())
                     piece.append(i > 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(where, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.int32())), pa.array(piece, pa.bool_())],
+            [pa.array(lang, pa.string()), pa.array(where, pa.binary()), pa.array(times, pa.binary()), pa.array(piece, pa.bool_())],
             names=["lang", "at", "n", "piece"],
         )
 
@@ -212,20 +212,20 @@ def train(
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, texts_per_language / n)).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    table = drawn.mapInArrow(_featurise, "lang string, at array<short>, n array<int>, piece boolean").toPandas()
+    table = drawn.mapInArrow(_featurise, "lang string, at binary, n binary, piece boolean").toPandas()
     if table["piece"].all():
         return nothing()
-    table["_k"] = [(len(a), tuple(a), tuple(n)) for a, n in zip(table["at"], table["n"], strict=True)]
-    table = table.sort_values(["lang", "_k"])  # whatever order the tasks ended in
+    table = table.sort_values(["lang", "at", "n"])  # whatever order the tasks ended in
+    whole, pieces = table[~table["piece"]], table[table["piece"]]
+    parts = (_dense(pieces.iloc[at : at + 256]) for at in range(0, len(pieces), 256))
+    return fit(list(whole["lang"]), _dense(whole), parts, centroids, seed, reject, slack)
 
-    def dense(rows) -> np.ndarray:
-        counts = np.zeros((len(rows), BUCKETS), np.float32)
-        for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-            counts[i, at] = n
-        return counts
 
-    whole = table[~table["piece"]]
-    return fit(list(whole["lang"]), dense(whole), dense(table[table["piece"]]), centroids, seed, reject, slack)
+def _dense(rows) -> np.ndarray:
+    counts = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+        counts[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.int32)
+    return counts
 
 
 def held_out(c):
