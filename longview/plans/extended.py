@@ -62,7 +62,7 @@ def collapse_time(spark, sf):
     return made[0].join(made[1], ["obs_id", "var"]).join(made[2], ["obs_id", "var"])
 
 
-@register(f"WITH {TENSOR} SELECT CAST(obs_id % 2 AS VARCHAR) AS \"group\", var, t, round(avg(value), 6) + 0.0 AS mean, count(value) AS n FROM c GROUP BY 1, 2, 3")
+@register(f"WITH {TENSOR} SELECT CAST(obs_id % 2 AS VARCHAR) AS \"group\", var, t, round(avg(value), 4) + 0.0 AS mean, count(value) AS n FROM c GROUP BY 1, 2, 3", places=4)
 def timeseries_groups(spark, sf):
     return figures.timeseries(_tensor(spark, sf).withColumn("parity", F.col("obs_id") % 2), overlay="parity")
 
