@@ -1,4 +1,8 @@
-"""A corpus pipeline: language ID, exact dedup, near dedup, mixing, and encoding."""
+"""A corpus pipeline: language ID, exact dedup, near dedup, mixing, and encoding.
+
+Every stage takes null, empty and very long texts, null and repeated ids, an empty table, and columns of any other
+name, which it hands on (the last stage returns its own columns). Each stage's docstring says what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, or far from every language."""
+    """Drop documents without letters (null and empty ones too), or far from every language; wholly repeated rows fare alike."""
     return language.accepted(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of equal texts the longest as written stays, then the smallest id, a null id last; rows equal in id and text all stay, as one."""
     return exact.without_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at Jaccard 0.8 on five-word shingles one row stays."""
+    """Of each group linked at Jaccard 0.8 on five-word shingles the smallest id stays; texts without words, and rows without id, stay."""
     return ngram.one_of_each_group(docs, width=5, percent=80)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeat, or go, so that expected tokens by quality meet the targets."""
+    """Rows repeat, or go, so that expected tokens by quality meet the targets; rows equal in id and text are treated alike."""
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, budget=BUDGET)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with digests of ids and of the decoded text."""
+    """Number of tokens of each row, and digests of its ids and of the decoded text; a null text is empty."""
     return bpe.digests(docs)
 
 
