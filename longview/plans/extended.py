@@ -62,9 +62,10 @@ def collapse_time(spark, sf):
     return made[0].join(made[1], ["obs_id", "var"]).join(made[2], ["obs_id", "var"])
 
 
-@register(f"WITH {TENSOR} SELECT CAST(obs_id % 2 AS VARCHAR) AS \"group\", var, t, round(avg(value), 4) + 0.0 AS mean, count(value) AS n FROM c GROUP BY 1, 2, 3", places=4)
+@register(f"WITH {TENSOR} SELECT CAST(obs_id % 2 AS VARCHAR) AS \"group\", var, t, round(sum(value), 6) + 0.0 AS total, count(value) AS n FROM c GROUP BY 1, 2, 3")
 def timeseries_groups(spark, sf):
-    return figures.timeseries(_tensor(spark, sf).withColumn("parity", F.col("obs_id") % 2), overlay="parity")
+    means = figures.timeseries(_tensor(spark, sf).withColumn("parity", F.col("obs_id") % 2), overlay="parity")
+    return means.select("group", "var", "t", (F.col("mean") * F.col("n")).alias("total"), "n")  # means fall halfway between places
 
 
 @register(f"WITH {TENSOR} SELECT obs_id, var, t, round(value, 6) + 0.0 AS value FROM c WHERE var IN ('click', 'purchase') AND obs_id IN (1, 2, 3, 5, 8)")
