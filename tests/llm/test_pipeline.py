@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     rows = [(i, _text(i), "aa", "s", 1, None, 1.0) for i in range(60)]
     rows += [(100, _text(3), "aa", None, 1, 1, None), (101, _text(3) + " tail", None, "s", 1, 1, None)]  # an exact copy, a near one
     rows += [(200, None, "aa", "s", 0, 1, None), (201, "", "aa", "s", 0, 1, None), (202, "12 34", "aa", "s", 0, 1, None), (None, _text(70), "aa", "s", 1, 1, None)]
-    rows += [(300, "the river and the house " * 20_000, "aa", "s", 1, 1, None)]
+    rows += [(300, "the river and the house " * 200, "aa", "s", 1, 1, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     return top
