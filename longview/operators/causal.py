@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,7 +132,7 @@ def aipw(table: DataFrame, clip=CLIP) -> Effect:
     t, y, ps = F.col("t"), F.col("y"), F.col("ps")
     psi = F.col("mu1") - F.col("mu0") + t * (y - F.col("mu1")) / ps - (1 - t) * (y - F.col("mu0")) / (1 - ps)
     row = _outcomes(propensity(table, clip)).agg(F.avg(psi).alias("v"), F.stddev_samp(psi).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    se = row["s"] / np.sqrt(row["n"])
+    se = row["s"] / math.sqrt(row["n"])  # a plain float, as Spark's types refuse NumPy's
     return Effect("aipw", row["v"], se, row["v"] - 1.96 * se, row["v"] + 1.96 * se, row["n"])
 
 
