@@ -10,9 +10,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longview.functions.near import nearest_mean
+
 CLIP = (0.01, 0.99)
 
 
@@ -140,25 +142,25 @@ def matching(table: DataFrame, k: int = 1, caliper: float = 0.2, key: str = "obs
     """Effect by the k nearest rows of the other arm in propensity logit within ``caliper`` standard deviations.
 
     ``att`` matches treated rows to controls, with replacement; ``ate`` also matches controls to treated rows and takes
-    the mean over both. The other arm is cut into bins one caliper wide; a row meets three bins only (an equi-join).
+    the mean over both. Rows with one logit have the same matches, so logits are matched, not rows.
     """
-    if estimand == "ate":
-        one = matching(table, k, caliper, key)
-        swapped = table.withColumn("t", 1 - F.col("t"))
-        other = matching(swapped, k, caliper, key)
-        n = one.n + other.n
-        value = ((one.value or 0.0) * one.n - (other.value or 0.0) * other.n) / n if n else None
-        return Effect("matching", value, n=n, dropped=one.dropped + other.dropped)
-    scored = propensity(table, (1e-6, 1 - 1e-6)).withColumn("l", F.log(F.col("ps") / (1 - F.col("ps"))))
-    width = (scored.agg(F.stddev_samp("l")).first()[0] or 0.0) * caliper or 1e-9
-    cell = F.floor(F.col("l") / width).cast("long")
-    treated = scored.where("t = 1").select(F.col(key).alias("a"), F.col("l").alias("la"), F.col("y").alias("ya"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    control = scored.where("t = 0").select(F.col(key).alias("b"), F.col("l").alias("lb"), F.col("y").alias("yb"), cell.alias("cell"))
-    near = treated.join(control, "cell").withColumn("d", F.abs(F.col("la") - F.col("lb"))).where(F.col("d") <= width)
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
-    pairs = best.groupBy("a").agg(F.first("ya").alias("ya"), F.avg("yb").alias("yb"))
-    row = pairs.agg(F.avg(F.col("ya") - F.col("yb")).alias("v"), F.count(F.lit(1)).alias("n")).first()
-    return Effect("matching", row["v"], n=row["n"], dropped=scored.where("t = 1").count() - row["n"])
+    logit = F.log(F.col("ps") / (1 - F.col("ps"))) + 0.0
+    scored = propensity(table, (1e-6, 1 - 1e-6)).select(key, "t", "y", logit.alias("l")).persist()
+    try:
+        width = (scored.agg(F.stddev_samp("l")).first()[0] or 0.0) * caliper or 1e-9
+        total, n, rows = 0.0, 0, 0
+        for arm in (1, 0) if estimand == "ate" else (1,):
+            own = scored.where(F.col("t") == arm).groupBy("l").agg(F.count(F.lit(1)).alias("n_own"), F.sum("y").alias("y_own"))
+            others = scored.where(F.col("t") != arm).select(F.col("l").alias("v"), F.col(key).alias("key"), "y")
+            near = nearest_mean(own.select(F.col("l").alias("q")), others, k, width)
+            joined = own.join(near, F.col("l") == F.col("q"), "left")
+            apart = F.sum(F.when(F.col("n") > 0, F.col("y_own") - F.col("n_own") * F.col("y")))
+            row = joined.agg(apart.alias("s"), F.sum(F.when(F.col("n") > 0, F.col("n_own"))).alias("n"), F.sum("n_own").alias("rows")).first()
+            total += (row["s"] or 0.0) * (1 if arm else -1)
+            n, rows = n + (row["n"] or 0), rows + row["rows"]
+    finally:
+        scored.unpersist()
+    return Effect("matching", total / n if n else None, n=n, dropped=rows - n)
 
 
 def t_learner(table: DataFrame) -> DataFrame:

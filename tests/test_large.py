@@ -1,8 +1,12 @@
 """What larger tables and odd rows break: each case failed once."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from longview.functions import near
 from longview.operators import causal, ranking
 from longview.plans import catalogue
 
@@ -32,3 +36,31 @@ def test_wilcoxon_of_millions_of_rows(spark):
     for g, s in want.items():
         assert got[g]["n"] == half and got[g]["rank_sum"] == s
         assert got[g]["z"] == pytest.approx((s - half * (n + 1) / 2) / (half * half * (n + 1) / 12.0) ** 0.5)
+
+
+@pytest.mark.parametrize(("k", "estimand", "decimals", "rows"), [(1, "att", 8, 50), (3, "ate", 1, 10**6), (2, "ate", 2, 20)])
+def test_matching_equals_brute_force(spark, monkeypatch, k, estimand, decimals, rows):
+    monkeypatch.setattr(near, "ROWS", rows)
+    rng = np.random.default_rng(k)
+    v = np.round(rng.normal(size=300), decimals)
+    t = (rng.uniform(size=300) < 1 / (1 + np.exp(-2 * v))).astype(float)
+    data = [(i * 7919 % 300, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(t, 3 * t + v + rng.normal(size=300), v, strict=True))]
+    table = causal.design(spark.createDataFrame(data, "obs_id long, t double, y double, v double"), "t", ["v"], "y")
+    logit = F.log(F.col("ps") / (1 - F.col("ps")))
+    scored = sorted(map(tuple, causal.propensity(table, (1e-6, 1 - 1e-6)).select("obs_id", "t", "y", logit).collect()))
+    width, effects, dropped = 0.2 * np.std([r[3] for r in scored], ddof=1), [], 0
+    for _, arm, y, at in scored:
+        if arm == 1 or estimand == "ate":
+            best = sorted((abs(at - r[3]), r[0], r[2]) for r in scored if r[1] != arm and abs(at - r[3]) <= width)[:k]
+            effects += [(y - np.mean([b[2] for b in best])) * (1 if arm else -1)] if best else []
+            dropped += not best
+    got = causal.matching(table, k, estimand=estimand)
+    assert got.value == pytest.approx(np.mean(effects)) and (got.n, got.dropped) == (len(effects), dropped)
+
+
+@pytest.mark.parametrize("estimand", ["att", "ate"])
+def test_matching_lists_no_pairs(spark, estimand):
+    table = causal.design(spark.range(200_000).selectExpr("id as obs_id", "id % 2 as t", "double(id % 2 + id % 5) as y", "id div 2 % 3 as v"), "t", ["v"], "y")
+    began = time.time()
+    got = causal.matching(table, estimand=estimand)
+    assert (got.n, got.dropped) == (200_000 if estimand == "ate" else 100_000, 0) and time.time() - began < 60
