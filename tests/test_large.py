@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from longview.functions import near
-from longview.operators import causal, ranking
+from longview.operators import causal, impute, ranking
 from longview.plans import catalogue
 
 
@@ -64,3 +64,28 @@ def test_matching_lists_no_pairs(spark, estimand):
     began = time.time()
     got = causal.matching(table, estimand=estimand)
     assert (got.n, got.dropped) == (200_000 if estimand == "ate" else 100_000, 0) and time.time() - began < 60
+
+
+@pytest.mark.parametrize(("donors", "rows"), [(200, 10**6), (200, 20), (3, 10**6)])
+def test_knn_by_one_anchor_equals_brute_force(spark, monkeypatch, donors, rows):
+    monkeypatch.setattr(near, "ROWS", rows)
+    rng = np.random.default_rng(8)
+    anchors = [None if i % 17 == 0 else float("nan") if i % 29 == 0 else float(round(a, i % 3)) for i, a in enumerate(rng.normal(size=donors + 60))]
+    data = [(i * 31 % 997, a, float(i) if i < donors else None) for i, a in enumerate(anchors)]
+    got = {r["obs_id"]: r["y"] for r in impute.knn(spark.createDataFrame(data, "obs_id long, a double, y double"), ["y"], ["a"], k=5).collect()}
+
+    def apart(a, b):
+        return float("inf") if a is None or b is None or a != a or b != b else abs(a - b)
+
+    known = [r for r in data if r[2] is not None]
+    for i, a, y in data:
+        best = sorted((apart(a, b), j, v) for j, b, v in known)[:5]
+        assert got[i] == pytest.approx(np.mean([v for *_, v in best]) if y is None else y)
+
+
+def test_knn_by_one_anchor_lists_no_pairs(spark):
+    df = spark.range(600_000).selectExpr("id as obs_id", "double(id % 50) as a", "case when id % 11 > 0 then double(id) end as y")
+    began = time.time()
+    got = impute.knn(df, ["y"], ["a"]).where("obs_id % 11 = 0 and obs_id % 50 = 7").agg(F.min("y"), F.max("y")).first()
+    want = np.mean([i for i in range(7, 600, 50) if i % 11][:5])
+    assert tuple(got) == (want, want) and time.time() - began < 60
