@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from longview.functions import near
-from longview.operators import causal, impute, ranking
+from longview.operators import causal, embedding, impute, ranking
 from longview.plans import catalogue
 
 
@@ -89,3 +89,37 @@ def test_knn_by_one_anchor_lists_no_pairs(spark):
     got = impute.knn(df, ["y"], ["a"]).where("obs_id % 11 = 0 and obs_id % 50 = 7").agg(F.min("y"), F.max("y")).first()
     want = np.mean([i for i in range(7, 600, 50) if i % 11][:5])
     assert tuple(got) == (want, want) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("metric", ["soft_dtw", "gak"])
+def test_series_distances_by_blocks_equal_single_pairs(spark, metric):
+    rng = np.random.default_rng(9)
+    series = {(k, var): rng.normal(size=int(rng.integers(2, 12))) * (30 if k % 5 == 0 else 1) for k in range(30) for var in "uv"}
+    long = spark.createDataFrame([(k, var, t, float(x)) for (k, var), s in series.items() for t, x in enumerate(s)], "obs_id long, var string, t int, value double")
+    got = {(r["a"], r["b"]): r["distance"] for r in embedding.series_distances(long, long.where("obs_id % 10 = 0"), block=7, metric=metric).collect()}
+    assert got.keys() == {(a, b) for a in (0, 10, 20) for b in range(30) if a != b}
+    for (a, b), d in got.items():
+        pairs = [(series[a, v], series[b, v]) for v in "uv" if min(len(series[a, v]), len(series[b, v])) >= 4]
+        each = [embedding._apart(x, y[:, None], np.array([len(y)]), metric)[0] for x, y in pairs]
+        assert d == pytest.approx(np.mean(each) if each else 0.0)
+
+
+def test_long_series_keep_logarithms():
+    a, b = np.linspace(0, 1, 400), np.linspace(0, 2, 350)[:, None]
+    got = embedding._apart(a, b, np.array([350]), "gak")
+    short = embedding._apart(a[:40], b[:35], np.array([35]), "gak")
+    assert 0 < short[0] < 1 and 0 < got[0] <= 1
+
+
+@pytest.mark.parametrize("metric", ["soft_dtw", "gak"])
+def test_series_kernels_cost_a_few_times_dtw(metric):
+    rng = np.random.default_rng(10)
+    sizes = np.sort(np.clip(rng.poisson(7.6, 4096), 4, 18))[::-1].copy()
+    grid, a = np.where(np.arange(18)[:, None] < sizes, rng.exponential(50, size=(18, 4096)), 0.0), rng.exponential(50, size=8)
+
+    def seconds(metric):
+        began = time.perf_counter()
+        embedding._apart(a, grid, sizes, metric)
+        return time.perf_counter() - began
+
+    assert min(seconds(metric) for _ in range(3)) < 20 * min(seconds("dtw") for _ in range(3))
