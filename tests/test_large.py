@@ -104,6 +104,26 @@ def test_series_distances_by_blocks_equal_single_pairs(spark, metric):
         assert d == pytest.approx(np.mean(each) if each else 0.0)
 
 
+def test_soft_dtw_query_has_every_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    got = [(r["a"], r["b"]) for r in catalogue.queries()["soft_dtw_distances"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in ids for b in ids if a != b}
+
+
+@pytest.mark.parametrize(("metric", "block"), [("soft_dtw", 4), ("soft_dtw", 1024), ("gak", 4)])
+def test_all_series_distances_equal_those_of_queries(spark, metric, block):
+    rng = np.random.default_rng(11)
+    series = {(k, var): rng.normal(size=int(rng.integers(2, 12))) * (30 if k % 5 == 0 else 1) for k in range(40) for var in ("uv" if k % 3 else "u")}
+    rows = [(k or None, var, t, float(x)) for (k, var), s in series.items() for t, x in enumerate(s)] + [(k or None, "u", 99, None) for k in range(41)]
+    long = spark.createDataFrame(rows, "obs_id long, var string, t int, value double")
+    found = [tuple(r) for r in embedding.series_distances_all(long, block=block, metric=metric).collect()]
+    got = {(a, b): d for a, b, d in found}
+    want = {(r["a"], r["b"]): r["distance"] for r in embedding.series_distances(long, long, metric=metric).collect()}
+    want |= {(b, a): d for (a, b), d in want.items()}  # a null id is no query
+    assert len(found) == len(got) == 41 * 40 and got == pytest.approx(want)
+
+
 def test_long_series_keep_logarithms():
     a, b = np.linspace(0, 1, 400), np.linspace(0, 2, 350)[:, None]
     got = embedding._apart(a, b, np.array([350]), "gak")
